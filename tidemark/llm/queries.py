@@ -7,8 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.rows import documents, prepare
+from tidemark.llm import bpe, fingerprint, langid, simhash, tokencount
+from tidemark.llm.rows import documents, held_out, prepare
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; asked for only when a query needs one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy, accepted; learns from documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = langid.trained(spark, docs.where(~held_out()))
+    found = langid.identify(docs, model)
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    return fingerprint.edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    return tokencount.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return bpe.encode_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +48,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_tokencount": op3_tokencount,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 
