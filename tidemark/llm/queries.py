@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, simhash, tokencount
+from tidemark.llm import bpe, decontaminate, fingerprint, langid, linededup, pii, sharding, simhash, tokencount, toxicity
 from tidemark.llm.rows import documents, held_out, prepare
 
 
@@ -36,6 +36,36 @@ def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, containment of every benchmark item whose shingles a document has to 0.8 or more."""
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "containment")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, n_pseudonyms of every document."""
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count_col="n_pseudonyms")
+
+
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with one line of each group kept, removed (places of the lines that went) of every document."""
+    return linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), removed_col="removed")
+
+
+def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null), hilbert of every document."""
+    found = sharding.placed(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learns from labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    machine = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+    found = toxicity.score_documents(docs.select("doc_id", "text"), machine)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
@@ -51,11 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_fingerprint": op2_fingerprint,
     "op3_tokencount": op3_tokencount,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_pii": op5_pii,
+    "op6_linededup": op6_linededup,
+    "op7_hilbert": op7_hilbert,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Exact containment by shingles: what the search must find, and no more.
+    "op4_decontaminate": """
+        WITH dw AS (SELECT row_number() OVER () r, doc_id, list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]', ' ', 'g'), ' '), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL),
+        iw AS (SELECT row_number() OVER () k, item_id, list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]', ' ', 'g'), ' '), lambda x: x <> '') w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+        si AS (SELECT DISTINCT k, item_id, least(5, len(w)) n, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) s FROM iw WHERE len(w) > 0),
+        sizes AS (SELECT k, count(*) m FROM si GROUP BY k),
+        sd AS (SELECT DISTINCT r, doc_id, n, s FROM (SELECT r, doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) s FROM dw, (SELECT DISTINCT n FROM si) WHERE len(w) >= n)),
+        hit AS (SELECT r, any_value(doc_id) doc_id, k, any_value(item_id) item_id, count(*) c FROM sd JOIN si USING (n, s) GROUP BY r, k)
+        SELECT doc_id, item_id, c * 1.0::DOUBLE / m AS containment FROM hit JOIN sizes USING (k) WHERE c * 1.0::DOUBLE / m >= 0.8 - 1e-12
+    """,
+}
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -195,7 +195,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESH
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)
     rest = [c for c in docs.columns if c not in (score_col, predicted_col)]
-    schema = docs.select(*rest).schema.add(score_col, "double").add(predicted_col, "int")
+    schema = docs.select(*rest).schema.add(score_col, "double").add(predicted_col, "integer")
     at = rest.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
