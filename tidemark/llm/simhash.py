@@ -55,14 +55,15 @@ def _fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row, fp as a signed long."""
+    """(id, th, fp) for each row: a hash of the text (of null like of empty) and the fingerprint as a signed long."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([_fingerprint(x or b"") for x in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+        found = np.array([_fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "th", "fp"])
 
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
-    return map_batches(frame, work, "id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
+    return map_batches(frame, work, "id long, th long, fp long")
 
 
 def _mask(triple: tuple[int, ...]) -> int:
@@ -90,12 +91,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned. A null id is returned with the least id of its group (null if the group has none). An
     empty table gives an empty result; other columns are not read.
     """
+    return _grouped(docs, id_col, text_col, max_bits).select("id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """(id, th, fp, component_id, root); root is the least fingerprint of the group."""
     prepare(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = connected(links(nodes, max_bits))
     groups = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     least = groups.groupBy("root").agg(F.min("least").alias("component"))
-    of = groups.select("fp", "root").join(least, "root").select("fp", "component")
-    all_of = nodes.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(all_of, "fp", "left").select("id", "fp", "component_id")
+    of = groups.select("fp", "root").join(least, "root").select("fp", "root", "component")
+    found = nodes.join(of, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(found.drop("n"), "fp").select("id", "th", "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of docs, with all its columns, for each group of near-duplicates: the one with the least id.
+
+    Of rows with that id the one with the least hash of its text stays, of equal rows one. A row with a null id
+    stays only if its group has no id. An empty table gives an empty result.
+    """
+    found = _grouped(docs, id_col, text_col, max_bits)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("r")).select(F.col("r.id").alias("__tm_id"), F.col("r.th").alias("__tm_th"))
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    both = docs.withColumns({"__tm_own": own, "__tm_hash": F.xxhash64(text)})
+    kept = both.join(first, both["__tm_own"].eqNullSafe(first["__tm_id"]) & (both["__tm_hash"] == first["__tm_th"]), "left_semi")
+    return kept.dropDuplicates(["__tm_own", "__tm_hash"]).select(*docs.columns)
