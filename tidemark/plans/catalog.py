@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import indicators, matches, points_in_time
+from tidemark.plans import indicators, matches, points_in_time, quality
 
-PLANS = (indicators, points_in_time, matches)
+PLANS = (indicators, points_in_time, matches, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
