@@ -34,8 +34,11 @@ def within(values: np.ndarray, one: np.uint64, most: int) -> np.ndarray:
     return np.bitwise_count(values ^ one) <= most
 
 
-def explored(values: np.ndarray, most: int, agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect what links connect: at most `most` differing bits and, if given, agree(i, j)."""
+def explored(values: np.ndarray, most: int, agree: Callable[[int, int], bool] | None = None, may: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect what links connect: at most `most` differing bits and, if given, agree(i, j).
+
+    may(i, js), if given, is False where i can't agree with a j; it is asked for many at once, before agree.
+    """
     edges: list[tuple[int, int]] = []
     rest = np.arange(len(values))
     while len(rest):
@@ -45,6 +48,9 @@ def explored(values: np.ndarray, most: int, agree: Callable[[int, int], bool] |
             near = within(values[rest], values[i], most)
             if not near.any():
                 continue
+            if may:
+                at = np.flatnonzero(near)
+                near[at] = may(i, rest[at])
             if agree:
                 for at in np.flatnonzero(near):
                     near[at] = agree(i, int(rest[at]))
