@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import indicators, matches, points_in_time, quality, scalars
+from tidemark.plans import documents, indicators, matches, points_in_time, quality, scalars
 
-PLANS = (indicators, points_in_time, matches, quality, scalars)
+PLANS = (indicators, points_in_time, matches, quality, scalars, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -109,7 +109,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:2] == "fn" and k[2:3].
 _ERF = "(1 - ((((1.061405429 * (1 / (1 + 0.3275911 * abs({0}))) - 1.453152027) * (1 / (1 + 0.3275911 * abs({0}))) + 1.421413741) * (1 / (1 + 0.3275911 * abs({0}))) - 0.284496736) * (1 / (1 + 0.3275911 * abs({0}))) + 0.254829592) * (1 / (1 + 0.3275911 * abs({0}))) * exp(-({0}) * ({0})))"
 
 
-def _cdf(x: str) -> str:
+def normal_cdf(x: str) -> str:
     z = f"(({x}) / sqrt(2::DOUBLE))"
     return f"(0.5::DOUBLE * (1 + CASE WHEN {z} < 0 THEN -1 ELSE 1 END * {_ERF.format(z)}))".replace("1.061405429", "1.061405429::DOUBLE").replace("0.3275911", "0.3275911::DOUBLE")
 
@@ -129,9 +129,9 @@ ORACLE_SQL = {
     "fn59_rules": "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_tax > 0.07::DOUBLE THEN 'out_of_bounds' END, CASE WHEN l_discount > 0.08::DOUBLE THEN 'bad_format' END, CASE WHEN l_quantity > 45 THEN 'not_in_document' END) AS flags, CASE WHEN l_discount > 0.08::DOUBLE THEN 'bad_format' WHEN l_quantity > 45 THEN 'not_in_document' WHEN l_tax > 0.07::DOUBLE THEN 'out_of_bounds' WHEN l_linenumber <= 1 THEN 'no_span' END AS withheld, CASE WHEN l_quantity < 3 THEN 'few' WHEN l_tax = 0 THEN 'untaxed' END AS reason, CASE WHEN l_tax * 20 <= 1 THEN l_tax * 20 ELSE -1 END AS conf, l_linenumber < 4 AND 3 < l_linenumber + 2 AS overlap FROM lineitem",
     "fn41_filings": "SELECT o_orderkey, '2.02|' || o_orderkey % 9 || '.01' AS items, concat_ws(',', 'results', CASE WHEN o_orderkey % 9 = 5 THEN 'control' WHEN o_orderkey % 9 = 8 THEN 'other' END) AS events, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE o_orderkey % 4 END AS exhibit, CASE o_orderstatus WHEN 'F' THEN 'income' WHEN 'O' THEN 'balance' ELSE 'other' END AS area FROM orders",
     "fn67_options": f"""WITH p AS (SELECT p_partkey, 100::DOUBLE AS s, 80::DOUBLE + p_size AS k, (p_partkey % 12 + 1) / 12::DOUBLE AS t, 0.1::DOUBLE + (p_partkey % 7) / 20::DOUBLE AS v, p_partkey % 2 = 0 AS c FROM part), d AS (SELECT *, v * sqrt(t) AS r, (ln(s / k) + (0.04::DOUBLE + v * v / 2) * t) / (v * sqrt(t)) AS d1, (ln(s / k) + v * v / 2 * t) / (v * sqrt(t)) AS e1, k * exp(-0.04::DOUBLE * t) AS pv FROM p),
- g AS (SELECT *, round(CASE WHEN c THEN s * {_cdf('d1')} - pv * {_cdf('d1 - r')} ELSE pv * {_cdf('r - d1')} - s * {_cdf('-d1')} END, 4) AS price FROM d)
- SELECT p_partkey, round(price, 3) AS price, round(round(CASE WHEN c THEN {_cdf('d1')} ELSE {_cdf('d1')} - 1 END, 4), 3) AS delta, round(greatest(CASE WHEN c THEN s * {_cdf('e1')} - k * {_cdf('e1 - r')} ELSE k * {_cdf('r - e1')} - s * {_cdf('-e1')} END, 0.05), 4) AS b76, round({_cdf('e1 - r')}, 5) AS above, greatest(CASE WHEN c THEN s - k ELSE k - s END, 0) AS intrinsic, round(greatest(0.02::DOUBLE, price * 0.04::DOUBLE), 4) AS half FROM g""",
-    "fn77_regime": f"""WITH e AS (SELECT event_id, value % 50 AS v, event_id % 5 - 2::DOUBLE AS sp FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN v > 40 THEN 'panic' WHEN v > 30 THEN 'stress' WHEN v >= 20 THEN 'elevated' WHEN v >= 15 THEN 'normal' ELSE 'calm' END AS bucket, round({_cdf('-0.5333::DOUBLE - 0.6629::DOUBLE * sp')}, 5) AS p,
+ g AS (SELECT *, round(CASE WHEN c THEN s * {normal_cdf('d1')} - pv * {normal_cdf('d1 - r')} ELSE pv * {normal_cdf('r - d1')} - s * {normal_cdf('-d1')} END, 4) AS price FROM d)
+ SELECT p_partkey, round(price, 3) AS price, round(round(CASE WHEN c THEN {normal_cdf('d1')} ELSE {normal_cdf('d1')} - 1 END, 4), 3) AS delta, round(greatest(CASE WHEN c THEN s * {normal_cdf('e1')} - k * {normal_cdf('e1 - r')} ELSE k * {normal_cdf('r - e1')} - s * {normal_cdf('-e1')} END, 0.05), 4) AS b76, round({normal_cdf('e1 - r')}, 5) AS above, greatest(CASE WHEN c THEN s - k ELSE k - s END, 0) AS intrinsic, round(greatest(0.02::DOUBLE, price * 0.04::DOUBLE), 4) AS half FROM g""",
+    "fn77_regime": f"""WITH e AS (SELECT event_id, value % 50 AS v, event_id % 5 - 2::DOUBLE AS sp FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN v > 40 THEN 'panic' WHEN v > 30 THEN 'stress' WHEN v >= 20 THEN 'elevated' WHEN v >= 15 THEN 'normal' ELSE 'calm' END AS bucket, round({normal_cdf('-0.5333::DOUBLE - 0.6629::DOUBLE * sp')}, 5) AS p,
  CASE WHEN v / 20 > 1.1::DOUBLE THEN 'deep' WHEN v / 20 > 1 THEN 'inverted' ELSE 'normal' END AS term, CASE WHEN event_id % 3 <> 0 THEN floor(least(v * 10, 95, 300)) END AS shares,
  CASE WHEN 1 + (event_id % 4) / 20.0::DOUBLE >= 1.15::DOUBLE THEN 'collar' WHEN event_id % 3 = 0 THEN CASE WHEN v * 2 >= 50 THEN 'bull_put_spread' ELSE 'call_debit_spread' END WHEN event_id % 3 = 1 THEN CASE WHEN v * 2 >= 50 THEN 'bear_call_spread' ELSE 'put_debit_spread' END WHEN v * 2 >= 50 THEN 'iron_condor' ELSE 'calendar' END AS structure FROM e""",
     "fn80_flow": "SELECT l_orderkey, l_linenumber, l_extendedprice / 100 >= 2 * (l_quantity * 20) AS unusual, CASE WHEN l_linenumber / nullif(l_quantity % 8, 0) >= 1.2::DOUBLE THEN 'fear' WHEN l_linenumber / nullif(l_quantity % 8, 0) <= 0.5 THEN 'greed' WHEN l_quantity % 8 <> 0 THEN 'neutral' END AS put_call, l_quantity * 20 >= 500 AND l_extendedprice / 100 >= 100 AS liquid, round(0.35::DOUBLE * l_tax + 0.3::DOUBLE * l_discount + 0.15::DOUBLE * (CASE WHEN l_tax > 0.02::DOUBLE THEN 1 ELSE 0 END) + 0.1::DOUBLE, 6) AS score FROM lineitem",
