@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -63,27 +64,27 @@ def forward_looking(docs: DataFrame, cue: str, key: str = "doc_id", text: str =
     return rows.where(F.col("sentence").rlike(cue) & F.col("sentence").rlike(r"\d"))
 
 
-@F.pandas_udf("array<struct<kind:string,value:string,label:string,start:int,end:int>>")
-def _candidates(texts: pd.Series) -> pd.Series:
-    import re
+CANDIDATE = re.compile(r"(?P<date>\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b)|(?P<number>" + NUMBER + r"%?)")
+LABEL = re.compile(r"([A-Za-z][A-Za-z ]{0,40}?)\s*[:=]\s*$")
 
-    pattern = re.compile(r"(?P<date>\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b)|(?P<number>" + NUMBER + r"%?)")
-    label = re.compile(r"([A-Za-z][A-Za-z ]{0,40}?)\s*[:=]\s*$")
 
-    def of(text: str | None) -> list[dict]:
-        out = []
-        for m in pattern.finditer(text or ""):
-            line = text.rfind("\n", 0, m.start()) + 1
-            near = label.search(text[max(line, m.start() - 60) : m.start()])
-            out.append({"kind": m.lastgroup, "value": m[0], "label": near[1].strip() if near else None, "start": m.start(), "end": m.end()})
-        return out
-
-    return texts.map(of)
+def _candidates(text: str | None) -> list[dict]:
+    out = []
+    for m in CANDIDATE.finditer(text or ""):
+        line = text.rfind("\n", 0, m.start()) + 1
+        near = LABEL.search(text[max(line, m.start() - 60) : m.start()])
+        out.append({"kind": m.lastgroup, "value": m[0], "label": near[1].strip() if near else None, "start": m.start(), "end": m.end()})
+    return out
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per number or date of a text with its place and the label that stands before it on the line."""
-    return docs.select(key, F.explode(_candidates(text)).alias("c")).select(key, "c.*")
+
+    @F.pandas_udf("array<struct<kind:string,value:string,label:string,start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_candidates)
+
+    return docs.select(key, F.explode(run(text)).alias("c")).select(key, "c.*")
 
 
 def ranked_candidates(found: DataFrame, anchor: str, most: int = 8, key: str = "doc_id") -> DataFrame:

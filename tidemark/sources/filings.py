@@ -45,7 +45,7 @@ def frames(rows: DataFrame, json: str = "json") -> DataFrame:
 def feed(rows: DataFrame, *, forms: Sequence[str] = (), since: str | None = None, until: str | None = None, json: str = "json") -> DataFrame:
     """(cik, filing fields) of a feed of parallel arrays."""
     r = rows.select("cik", F.from_json(json, f"struct<filings:struct<recent:{FEED}>>")["filings"]["recent"].alias("r"))
-    out = r.select("cik", F.explode(F.arrays_zip(*[F.col(f"r.{c}").alias(c) for c in ("accessionNumber", "filingDate", "form", "items", "primaryDocument")])).alias("f")).select("cik", "f.*")
+    out = r.select("cik", F.explode(F.arrays_zip(*[F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>")).alias(c) for c in ("accessionNumber", "filingDate", "form", "items", "primaryDocument")])).alias("f")).select("cik", "f.*")
     for on, cond in ((forms, F.col("form").isin(*forms) if forms else None), (since, F.col("filingDate") >= since if since else None), (until, F.col("filingDate") <= until if until else None)):
         out = out.where(cond) if on else out
     return out
