@@ -61,3 +61,18 @@ def blocks_of(n: Column, most: int) -> Column:
 
 def pieces(total: float, most: float) -> int:
     return max(1, math.ceil(total / most))
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with a table of one row a key, which has the key's number of rows in the column `count`.
+
+    Keys with more than a thousandth of all rows are fewer than 1,000: these are broadcast and their rows stay where they are.
+    The other rows are joined by shuffle, where no key is large.
+    """
+    rest = [c for c in table.columns if c not in keys]
+    large = F.col(count) * 1000 > total
+    hot = table.where(large).select(*keys, F.struct(*rest).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    near = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in rest])
+    far = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(table.where(~large), keys)
+    return near.unionByName(far.select(*near.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
 from tidemark.llm.links import edges_of, explored, spread
-from tidemark.llm.rows import map_batches, prepare
+from tidemark.llm.rows import joined_hot, map_batches, prepare
 
 SHINGLE = 3
 SEED = 42
@@ -103,8 +103,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> Data
     groups = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     least = groups.groupBy("root").agg(F.min("least").alias("component"))
     of = groups.select("fp", "root").join(least, "root").select("fp", "root", "component")
-    found = nodes.join(of, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(found.drop("n"), "fp").select("id", "th", "fp", "component_id", "root")
+    found = nodes.join(of, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
+    return joined_hot(marked, found, ["fp"], "n", marked.count()).select("id", "th", "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
