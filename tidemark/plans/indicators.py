@@ -134,7 +134,7 @@ QUERIES = {
     "win6_rsi": _one(lambda d: d.withColumn("x", _r(w.rsi()))),
     "win7_ema": win7_ema,
     "win8_macd": win8_macd,
-    "win9_true_range": _one(lambda d: d.withColumn("x", _r(F.col("tr")))),
+    "win9_true_range": _one(lambda d: d.withColumn("x", F.col("tr"))),
     "win10_atr": _one(lambda d: d.withColumn("x", _r(w.atr()))),
     "win11_vol": _one(lambda d: d.withColumn("x", _r(w.realized_vol()))),
     "win12_clusters": win12_clusters,
@@ -164,7 +164,7 @@ ORACLE_SQL = {
  r AS (SELECT *, row_number() OVER (PARTITION BY date, m IS NULL ORDER BY m, ticker) - 1 AS k, count(m) OVER (PARTITION BY date) AS n FROM m)
  SELECT ticker, date, round(CASE WHEN m IS NULL THEN NULL WHEN n = 1 THEN 50.0 ELSE k / (n - 1) * 100 END, 6) AS x FROM r""",
     "win6_rsi": _sql(f"round(CASE WHEN i >= 15 THEN CASE WHEN {_DOWN} = 0 THEN 100.0 ELSE 100 - 100 / (1 + ({_UP}) / ({_DOWN})) END END, 6)"),
-    "win9_true_range": _sql("round(tr, 6)"),
+    "win9_true_range": _sql("tr"),
     "win10_atr": _sql(f"round(CASE WHEN i >= 15 THEN avg(tr) {frame(14)} END, 6)"),
     "win11_vol": _sql(f"round(CASE WHEN i >= 21 THEN stddev_samp(ret) {frame(20)} END, 6)"),
     "win13_beta": f"""WITH {s.BARS}, c AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret, {IDX} AS i FROM b), m AS (SELECT date, avg(ret) AS mr FROM c GROUP BY date), j AS (SELECT c.*, mr FROM c LEFT JOIN m USING (date))

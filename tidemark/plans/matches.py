@@ -37,7 +37,7 @@ def join8_vol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = bars.select(F.col("ticker").alias("k"), F.col("date").alias("rt"), "close", w.annual_vol(20).alias("v20"))
     notes = s.table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("k"), F.date_add(F.to_date("l_shipdate"), -3).alias("lt"))
     out = j.asof(notes, states, "k", "lt", "rt", ["close", "v20"])
-    return out.select("l_orderkey", F.round("close", 6).alias("close"), "v20")
+    return out.select("l_orderkey", "close", "v20")
 
 
 def join13_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ ORACLE_SQL = {
     "join7_asof_strict": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt > r.rt",
     "join18_forward": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt <= r.rt",
     "join8_vol_at": f"""WITH {s.BARS}, l AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS lret FROM b), st AS (SELECT ticker, date, close, CASE WHEN count(lret) OVER w = 20 THEN round(stddev_samp(lret) OVER w * sqrt(252) * 100, 4) END AS v20 FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)),
- n AS (SELECT l_orderkey, l_suppkey AS k, CAST(l_shipdate AS DATE) - 3 AS lt FROM lineitem WHERE l_linenumber = 2) SELECT l_orderkey, round(close, 6) AS close, v20 FROM n ASOF LEFT JOIN st ON n.k = st.ticker AND n.lt >= st.date""",
+ n AS (SELECT l_orderkey, l_suppkey AS k, CAST(l_shipdate AS DATE) - 3 AS lt FROM lineitem WHERE l_linenumber = 2) SELECT l_orderkey, close, v20 FROM n ASOF LEFT JOIN st ON n.k = st.ticker AND n.lt >= st.date""",
     "join13_unpriced": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "join17_contained": "SELECT l_orderkey AS k, l_linenumber, CAST(l_shipdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 90 AS oe FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AND CAST(l_shipdate AS DATE) + 10 <= CAST(o_orderdate AS DATE) + 90",
     "join18_calendar": f"WITH {s.TRADES} SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS date FROM t GROUP BY 1 HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM t)",

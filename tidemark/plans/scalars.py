@@ -84,7 +84,7 @@ def fn67_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     spot, strike, years, vol = F.lit(100.0), 80.0 + F.col("p_size"), (F.col("p_partkey") % 12 + 1) / 12.0, 0.1 + (F.col("p_partkey") % 7) / 20.0
     call = F.col("p_partkey") % 2 == 0
     g = fin.black_scholes(spot, strike, years, vol, call)
-    return p.select("p_partkey", F.round(g["price"], 3).alias("price"), F.round(g["delta"], 3).alias("delta"), F.round(fin.black_76(spot, strike, vol, years, call), 4).alias("b76"), F.round(fin.prob_above(spot, strike, vol, years), 5).alias("above"), fin.intrinsic(spot, strike, call).alias("intrinsic"), F.round(fin.half_spread(g["price"]), 4).alias("half"))
+    return p.select("p_partkey", g["price"].alias("price"), g["delta"].alias("delta"), F.round(fin.black_76(spot, strike, vol, years, call), 4).alias("b76"), F.round(fin.prob_above(spot, strike, vol, years), 5).alias("above"), fin.intrinsic(spot, strike, call).alias("intrinsic"), F.round(fin.half_spread(g["price"]), 6).alias("half"))
 
 
 def fn77_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ ORACLE_SQL = {
     "fn41_filings": "SELECT o_orderkey, '2.02|' || o_orderkey % 9 || '.01' AS items, concat_ws(',', 'results', CASE WHEN o_orderkey % 9 = 5 THEN 'control' WHEN o_orderkey % 9 = 8 THEN 'other' END) AS events, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE o_orderkey % 4 END AS exhibit, CASE o_orderstatus WHEN 'F' THEN 'income' WHEN 'O' THEN 'balance' ELSE 'other' END AS area FROM orders",
     "fn67_options": f"""WITH p AS (SELECT p_partkey, 100::DOUBLE AS s, 80::DOUBLE + p_size AS k, (p_partkey % 12 + 1) / 12::DOUBLE AS t, 0.1::DOUBLE + (p_partkey % 7) / 20::DOUBLE AS v, p_partkey % 2 = 0 AS c FROM part), d AS (SELECT *, v * sqrt(t) AS r, (ln(s / k) + (0.04::DOUBLE + v * v / 2) * t) / (v * sqrt(t)) AS d1, (ln(s / k) + v * v / 2 * t) / (v * sqrt(t)) AS e1, k * exp(-0.04::DOUBLE * t) AS pv FROM p),
  g AS (SELECT *, round(CASE WHEN c THEN s * {normal_cdf('d1')} - pv * {normal_cdf('d1 - r')} ELSE pv * {normal_cdf('r - d1')} - s * {normal_cdf('-d1')} END, 4) AS price FROM d)
- SELECT p_partkey, round(price, 3) AS price, round(round(CASE WHEN c THEN {normal_cdf('d1')} ELSE {normal_cdf('d1')} - 1 END, 4), 3) AS delta, round(greatest(CASE WHEN c THEN s * {normal_cdf('e1')} - k * {normal_cdf('e1 - r')} ELSE k * {normal_cdf('r - e1')} - s * {normal_cdf('-e1')} END, 0.05), 4) AS b76, round({normal_cdf('e1 - r')}, 5) AS above, greatest(CASE WHEN c THEN s - k ELSE k - s END, 0) AS intrinsic, round(greatest(0.02::DOUBLE, price * 0.04::DOUBLE), 4) AS half FROM g""",
+ SELECT p_partkey, price, round(CASE WHEN c THEN {normal_cdf('d1')} ELSE {normal_cdf('d1')} - 1 END, 4) AS delta, round(greatest(CASE WHEN c THEN s * {normal_cdf('e1')} - k * {normal_cdf('e1 - r')} ELSE k * {normal_cdf('r - e1')} - s * {normal_cdf('-e1')} END, 0.05), 4) AS b76, round({normal_cdf('e1 - r')}, 5) AS above, greatest(CASE WHEN c THEN s - k ELSE k - s END, 0) AS intrinsic, round(greatest(0.02::DOUBLE, price * 0.04::DOUBLE), 6) AS half FROM g""",
     "fn77_regime": f"""WITH e AS (SELECT event_id, value % 50 AS v, event_id % 5 - 2::DOUBLE AS sp FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN v > 40 THEN 'panic' WHEN v > 30 THEN 'stress' WHEN v >= 20 THEN 'elevated' WHEN v >= 15 THEN 'normal' ELSE 'calm' END AS bucket, round({normal_cdf('-0.5333::DOUBLE - 0.6629::DOUBLE * sp')}, 5) AS p,
  CASE WHEN v / 20 > 1.1::DOUBLE THEN 'deep' WHEN v / 20 > 1 THEN 'inverted' ELSE 'normal' END AS term, CASE WHEN event_id % 3 <> 0 THEN floor(least(v * 10, 95, 300)) END AS shares,
  CASE WHEN 1 + (event_id % 4) / 20.0::DOUBLE >= 1.15::DOUBLE THEN 'collar' WHEN event_id % 3 = 0 THEN CASE WHEN v * 2 >= 50 THEN 'bull_put_spread' ELSE 'call_debit_spread' END WHEN event_id % 3 = 1 THEN CASE WHEN v * 2 >= 50 THEN 'bear_call_spread' ELSE 'put_debit_spread' END WHEN v * 2 >= 50 THEN 'iron_condor' ELSE 'calendar' END AS structure FROM e""",
