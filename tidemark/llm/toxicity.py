@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6)
 #: ASCII signs and digits separate words; A-Z are lower-cased.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Term lists that a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 
 
 class Machine(NamedTuple):
