@@ -152,3 +152,20 @@ def test_ranges():
     assert events.uncovered(("2024-01-01", "2024-01-10"), ("2024-01-03", "2024-01-05")) == [("2024-01-01", "2024-01-02"), ("2024-01-06", "2024-01-10")]
     assert events.halves("2024-01-01", "2024-01-04") == [("2024-01-01", "2024-01-02"), ("2024-01-03", "2024-01-04")]
     assert events.halves("2024-01-01", "2024-01-01") == [("2024-01-01", "2024-01-01")]
+
+
+def test_forms_with_prefixes(spark):
+    one = lambda xml: spark.createDataFrame([("d", xml)], "doc string, xml string")
+    d = '<?xml version="1.0"?><sch:edgarSubmission xmlns:sch="http://x"><sch:formData><sch:coverPageHeader><sch:issuerInfo><sch:issuerCIK>12</sch:issuerCIK></sch:issuerInfo></sch:coverPageHeader><sch:reportingPersons><sch:reportingPersonInfo><sch:reportingPersonName>A B</sch:reportingPersonName><sch:soleVotingPower>10.00</sch:soleVotingPower><sch:percentOfClass>30.7</sch:percentOfClass></sch:reportingPersonInfo><sch:reportingPersonInfo><sch:reportingPersonName>C</sch:reportingPersonName></sch:reportingPersonInfo></sch:reportingPersons></sch:formData></sch:edgarSubmission>'
+    got = filings.owners(one(d)).orderBy("pos").collect()
+    assert [(r.issuer_cik, r.person, r.sole_voting, r.percent) for r in got] == [("12", "A B", 10.0, 30.7), ("12", "C", None, None)]
+    g = "<edgarSubmission><formData><coverPageHeader><issuerInfo><issuerCik>9</issuerCik></issuerInfo></coverPageHeader><coverPageHeaderReportingPersonDetails><reportingPersonName>G</reportingPersonName><classPercent>5.1</classPercent></coverPageHeaderReportingPersonDetails></formData></edgarSubmission>"
+    assert [(r.issuer_cik, r.person, r.percent) for r in filings.owners(one(g)).collect()] == [("9", "G", 5.1)]
+    s = "<own:edgarSubmission><own:formData><own:issuerInfo><own:issuerCik>7</own:issuerCik></own:issuerInfo><own:securitiesInformation><own:securitiesClassTitle>Common</own:securitiesClassTitle><own:noOfUnitsSold>5</own:noOfUnitsSold></own:securitiesInformation><own:securitiesInformation><own:securitiesClassTitle>Other</own:securitiesClassTitle></own:securitiesInformation><own:securitiesToBeSold><own:securitiesClassTitle>Pref</own:securitiesClassTitle><own:acquiredDate>1</own:acquiredDate></own:securitiesToBeSold><own:securitiesToBeSold><own:securitiesClassTitle>Common</own:securitiesClassTitle><own:acquiredDate>2</own:acquiredDate></own:securitiesToBeSold></own:formData></own:edgarSubmission>"
+    assert [(r["class"], r.units, r.acquired) for r in filings.planned_sales(one(s)).orderBy("pos").collect()] == [("Common", 5.0, "2"), ("Other", None, "1")]
+
+
+def test_inline_facts_nest(spark):
+    page = '<p><ix:nonNumeric name="a:Note" contextRef="c">Sales of <ix:nonFraction name="us:Rev" contextRef="c1" scale="6" sign="-">1,234</ix:nonFraction> made</ix:nonNumeric></p>'
+    got = filings.inline_facts(spark.createDataFrame([(1, page), (2, None)], "id int, html string")).orderBy("id", "pos").collect()
+    assert [(r.name, r.context, r.text, r.value) for r in got] == [("us:Rev", "c1", "1,234", -1234e6), ("a:Note", "c", "Sales of 1,234 made", None)]

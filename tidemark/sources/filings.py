@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,17 @@ HOLDINGS = "infoTable array<struct<nameOfIssuer:string,titleOfClass:string,cusip
 OFFERING = "primaryIssuer struct<cik:string,entityName:string>, offeringData struct<offeringSalesAmounts:struct<totalOfferingAmount:string,totalAmountSold:string,totalRemaining:string>>"
 
 
+PERSON_D = "reportingPersonCIK:string,reportingPersonName:string,citizenshipOrOrganization:string,soleVotingPower:string,sharedVotingPower:string,aggregateAmountOwned:string,percentOfClass:string,typeOfReportingPerson:array<string>"
+PERSON_G = "reportingPersonName:string,citizenshipOrOrganization:string,reportingPersonBeneficiallyOwnedNumberOfShares:struct<soleVotingPower:string,sharedVotingPower:string>,reportingPersonBeneficiallyOwnedAggregateNumberOfShares:string,classPercent:string,typeOfReportingPerson:array<string>"
+OWNERS = f"formData struct<coverPageHeader:struct<dateOfEvent:string,eventDateRequiresFilingThisStatement:string,issuerInfo:struct<issuerCik:string,issuerName:string>>,reportingPersons:struct<reportingPersonInfo:array<struct<{PERSON_D}>>>,coverPageHeaderReportingPersonDetails:array<struct<{PERSON_G}>>>"
+SALES = "formData struct<issuerInfo:struct<issuerCik:string,issuerName:string,nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold:string>,securitiesInformation:array<struct<securitiesClassTitle:string,noOfUnitsSold:string,aggregateMarketValue:string,approxSaleDate:string>>,securitiesToBeSold:array<struct<securitiesClassTitle:string,acquiredDate:string,natureOfAcquisitionTransaction:string,amountOfSecuritiesAcquired:string>>>"
+
+
+def plain_tags(xml: Column) -> Column:
+    """XML without prefixes on elements and attributes, which from_xml takes as part of a name."""
+    return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z][\w.-]*:", "$1"), r"(\s)(?!xmlns)[A-Za-z][\w.-]*:([A-Za-z][\w.-]*=)", "$1$2")
+
+
 def facts_of_concept(json: Column) -> Column:
     """Rows (unit, entry) of {units: {unit: [entries]}}, instants left out."""
     units = F.from_json(json, f"struct<units:map<string,array<{ENTRY}>>>")["units"]
@@ -84,7 +97,7 @@ def schemaless(rows: DataFrame, keep: Sequence[str], json: str = "data_json", or
 
 def ownership(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """A row per transaction or holding of an ownership form, the issuer and first owner with each."""
-    held = rows.withColumn("x", F.from_xml(xml, OWNERSHIP, {"rowTag": "ownershipDocument"}))
+    held = rows.withColumn("x", F.from_xml(plain_tags(F.col(xml)), OWNERSHIP, {"rowTag": "ownershipDocument"}))
     owner = F.get(F.col("x.reportingOwner"), 0)
     head = [F.col("x.issuer.issuerCik").alias("issuer_cik"), F.col("x.issuer.issuerName").alias("issuer"), F.col("x.issuer.issuerTradingSymbol").alias("ticker"), owner["reportingOwnerId"]["rptOwnerName"].alias("owner"), owner["reportingOwnerRelationship"]["officerTitle"].alias("title")]
     own = [c for c in rows.columns if c != xml]
@@ -98,18 +111,73 @@ def ownership(rows: DataFrame, xml: str = "xml") -> DataFrame:
 def holdings(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """A row per holding of an information table."""
     own = [c for c in rows.columns if c != xml]
-    held = rows.select(*own, F.explode(F.from_xml(xml, HOLDINGS, {"rowTag": "informationTable"})["infoTable"]).alias("i"))
+    held = rows.select(*own, F.explode(F.from_xml(plain_tags(F.col(xml)), HOLDINGS, {"rowTag": "informationTable"})["infoTable"]).alias("i"))
     return held.select(*own, F.col("i.nameOfIssuer").alias("issuer"), F.col("i.titleOfClass").alias("class"), F.col("i.cusip").alias("cusip"), F.col("i.value").try_cast("double").alias("value"), F.col("i.shrsOrPrnAmt.sshPrnamt").try_cast("double").alias("shares"), F.col("i.putCall").alias("put_call"))
 
 
 def offerings(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """A row per offering; an indefinite amount is null."""
     own = [c for c in rows.columns if c != xml]
-    x = F.from_xml(xml, OFFERING, {"rowTag": "edgarSubmission"})
+    x = F.from_xml(plain_tags(F.col(xml)), OFFERING, {"rowTag": "edgarSubmission"})
     amounts = x["offeringData"]["offeringSalesAmounts"]
     return rows.select(*own, x["primaryIssuer"]["entityName"].alias("issuer"), *[amounts[k].try_cast("double").alias(n) for k, n in (("totalOfferingAmount", "offered"), ("totalAmountSold", "sold"), ("totalRemaining", "remaining"))])
 
 
+def owners(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """A row per reporting person of a beneficial ownership form, of either of its two layouts."""
+    own = [c for c in rows.columns if c != xml]
+    # The two layouts write one name in two ways.
+    x = F.from_xml(F.regexp_replace(plain_tags(F.col(xml)), "issuerCIK", "issuerCik"), OWNERS, {"rowTag": "edgarSubmission"})["formData"]
+    held = rows.select(*own, x.alias("x"))
+    number = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
+    first = F.transform("x.reportingPersons.reportingPersonInfo", lambda p: F.struct(p["reportingPersonName"].alias("person"), number(p["soleVotingPower"]).alias("sole_voting"), number(p["aggregateAmountOwned"]).alias("owned"), number(p["percentOfClass"]).alias("percent"), F.concat_ws(",", p["typeOfReportingPerson"]).alias("kind")))
+    second = F.transform("x.coverPageHeaderReportingPersonDetails", lambda p: F.struct(p["reportingPersonName"].alias("person"), number(p["reportingPersonBeneficiallyOwnedNumberOfShares"]["soleVotingPower"]).alias("sole_voting"), number(p["reportingPersonBeneficiallyOwnedAggregateNumberOfShares"]).alias("owned"), number(p["classPercent"]).alias("percent"), F.concat_ws(",", p["typeOfReportingPerson"]).alias("kind")))
+    issuer = F.col("x.coverPageHeader.issuerInfo")
+    return held.select(*own, issuer["issuerCik"].alias("issuer_cik"), issuer["issuerName"].alias("issuer"), F.posexplode(F.coalesce(first, second)).alias("pos", "p")).select(*own, "issuer_cik", "issuer", "pos", "p.*")
+
+
+def planned_sales(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """A row per security of a notice of sale, with the acquisition of its class, else the first one."""
+    own = [c for c in rows.columns if c != xml]
+    x = F.from_xml(plain_tags(F.col(xml)), SALES, {"rowTag": "edgarSubmission"})["formData"]
+    held = rows.select(*own, x.alias("x")).select(*own, F.col("x.issuerInfo.issuerCik").alias("issuer_cik"), F.col("x.issuerInfo.nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold").alias("person"), F.col("x.securitiesToBeSold").alias("bought"), F.posexplode("x.securitiesInformation").alias("pos", "s"))
+    match = F.coalesce(F.get(F.filter("bought", lambda b: b["securitiesClassTitle"] == F.col("s.securitiesClassTitle")), 0), F.get(F.col("bought"), 0))
+    return held.select(*own, "issuer_cik", "person", "pos", F.col("s.securitiesClassTitle").alias("class"), F.col("s.noOfUnitsSold").try_cast("double").alias("units"), F.col("s.aggregateMarketValue").try_cast("double").alias("value"), F.col("s.approxSaleDate").alias("sale_date"), match["acquiredDate"].alias("acquired"), match["natureOfAcquisitionTransaction"].alias("nature"))
+
+
+INLINE = re.compile(r"<(/?)ix:(nonFraction|nonNumeric)\b([^>]*?)(/?)>|<[^>]*>|([^<]+)", re.I)
+ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*[\"']([^\"']*)[\"']")
+
+
+def inline_facts_of(source: str | None) -> list[dict]:
+    """Tagged facts of a page in the order in which they end; an outer fact has the text of the inner ones too."""
+    out, open_ = [], []
+    for m in INLINE.finditer(source or ""):
+        if m[5]:
+            for f in open_:
+                f["text"] += m[5]
+        elif m[2] and not m[1]:
+            a = {k.lower().split(":")[-1]: v for k, v in ATTRIBUTE.findall(m[3])}
+            own = {"name": a.get("name"), "context": a.get("contextref"), "scale": int(a.get("scale") or 0), "negative": a.get("sign") == "-", "text": ""}
+            (out if m[4] else open_).append(own)
+        elif m[2] and open_:
+            out.append(open_.pop())
+    return out
+
+
+def inline_facts(rows: DataFrame, html: str = "html") -> DataFrame:
+    """A row per inline fact: name, context, text and, of numbers, the value by scale and sign."""
+
+    @F.pandas_udf("array<struct<name:string,context:string,scale:int,negative:boolean,text:string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(inline_facts_of)
+
+    own = [c for c in rows.columns if c != html]
+    found = rows.select(*own, F.posexplode(run(html)).alias("pos", "f"))
+    value = F.regexp_replace("f.text", r"[$,\s]", "").try_cast("double") * F.pow(F.lit(10.0), F.col("f.scale")) * F.when(F.col("f.negative"), -1).otherwise(1)
+    return found.select(*own, "pos", "f.name", "f.context", F.trim("f.text").alias("text"), value.alias("value"))
+
+
 def append_guarded(new: DataFrame, graduated: DataFrame, path: str) -> None:
     """Appends field rows; refuses if any field has graduated."""
     if new.join(graduated.select("field"), "field", "left_semi").limit(1).count():
@@ -146,7 +214,7 @@ def arcs(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """(role, parent, child, weight, ord) of calculation links; locators give labels their concepts."""
     schema = "calculationLink array<struct<_role:string,loc:array<struct<_label:string,_href:string>>,calculationArc:array<struct<_from:string,_to:string,_weight:double,_order:double>>>>"
     own = [c for c in rows.columns if c != xml]
-    link = rows.select(*own, F.explode(F.from_xml(xml, schema, {"rowTag": "linkbase", "ignoreNamespace": "true"})["calculationLink"]).alias("l"))
+    link = rows.select(*own, F.explode(F.from_xml(plain_tags(F.col(xml)), schema, {"rowTag": "linkbase"})["calculationLink"]).alias("l"))
     named = link.withColumn("names", F.map_from_entries(F.transform("l.loc", lambda x: F.struct(x["_label"], F.regexp_replace(F.regexp_replace(x["_href"], "^.*#", ""), "_", ":")))))
     out = named.select(*own, F.col("l._role").alias("role"), "names", F.explode("l.calculationArc").alias("a"))
     return out.select(*own, "role", F.element_at("names", F.col("a._from")).alias("parent"), F.element_at("names", F.col("a._to")).alias("child"), F.col("a._weight").alias("weight"), F.col("a._order").alias("ord"))
