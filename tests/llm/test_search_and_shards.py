@@ -42,7 +42,7 @@ def luhn(digits):
 
 
 def test_pseudonyms_keep_format_and_links(spark, odd, none):
-    values = ["4111111111111111", "+1 (017) 555-7713", "152.143.123.131", "2020-02-29", "31.12.1999", "01/31/2020", "123-45-6789", "in.of.55@mail4.example.com"]
+    values = ["4111111111111111", "+1 (017) 555-7713", "152.143.123.131", "2020-02-29", "31.12.1999", "01/31/2020", "123-45-6789", "in.of.55@mail4.example.com", "éclair.é7@mail1.example.com"]
     kept = ["4111111111111112", "300.1.1.1", "2021-02-29", "31.02.1999", "666-45-6789", "1234567"]
     rows = [(1, "a " + " b ".join(values) + " c"), (2, "x " + " y ".join(values + kept)), (3, None), (4, "")]
     out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
@@ -54,6 +54,7 @@ def test_pseudonyms_keep_format_and_links(spark, odd, none):
     assert all(0 <= int(x) <= 255 for x in one[2].split("."))
     date.fromisoformat(one[3])
     assert one[7].endswith("@mail4.example.com") and one[7][2] == "." == one[7][5]
+    assert one[8][0] == "é" and one[8][6:8] == ".é" and one[8].endswith("@mail1.example.com")
     other = pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), key="k").collect()[0].text
     assert other != out[1].text
     got = {(r.doc_id, r.text) for r in pii.pseudonymise(odd, count_col="fp").collect()}
