@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 #: The rational approximation 7.1.26 of Abramowitz and Stegun, error below 1.5e-7.
 ERF = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
+#: Bands of the volatility index, the recession probit (Estrella and Mishkin 1998), weights of the score's legs.
+VIX_BANDS = ((40, "panic"), (30, "stress"))
+PROBIT = (-0.5333, -0.6629)
+LEGS = {"congress": 0.35, "insider": 0.30, "news": 0.15, "options": 0.20}
+
 
 def erf(x: Column) -> Column:
     p, a1, a2, a3, a4, a5 = ERF
@@ -62,11 +67,12 @@ def half_spread(mid: Column) -> Column:
 
 
 def vix_bucket(vix: Column) -> Column:
-    return F.when(vix > 40, "panic").when(vix > 30, "stress").when(vix >= 20, "elevated").when(vix >= 15, "normal").when(vix.isNotNull(), "calm")
+    (panic, a), (stress, b) = VIX_BANDS
+    return F.when(vix > panic, a).when(vix > stress, b).when(vix >= 20, "elevated").when(vix >= 15, "normal").when(vix.isNotNull(), "calm")
 
 
 def recession_probability(spread: Column) -> Column:
-    return norm_cdf(-0.5333 - 0.6629 * spread)
+    return norm_cdf(PROBIT[0] + PROBIT[1] * spread)
 
 
 def inverted(vix: Column, vix3m: Column) -> Column:
@@ -105,4 +111,4 @@ def liquid_chain(open_interest: Column, volume: Column) -> Column:
 def smart_money(congress: Column, insider: Column, news: Column, options: Column) -> Column:
     """Weighted legs; a missing one counts 0."""
     leg = lambda c: F.coalesce(c, F.lit(0.0))
-    return 0.35 * leg(congress) + 0.30 * leg(insider) + 0.15 * leg(news) + 0.20 * leg(options)
+    return LEGS["congress"] * leg(congress) + LEGS["insider"] * leg(insider) + LEGS["news"] * leg(news) + LEGS["options"] * leg(options)
