@@ -116,3 +116,38 @@ def test_search_connects_what_agrees():
     values = np.array([0, 0, 0, 7, 255], np.uint64)
     assert links.explored(values, 3) == [(0, 1), (0, 2), (0, 3)]
     assert links.explored(values, 3, lambda i, j: abs(i - j) == 1) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_lines_with_changed_words_go(spark, docs):
+    """Brute force over edit similarity alone: of the lines that have an alike one, nine in ten are found."""
+    from tidemark.llm.queries import queries
+
+    first = {}
+    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        for line in (r.text or "").split("\n"):
+            first.setdefault(linededup.normalised(line).decode(), r.doc_id)
+    held = sorted((x for x in first if x), key=len)
+    may, size = linededup.possible(held, 0.8), np.array([len(x) for x in held])
+    pairs = []
+    for i in range(len(held)):
+        js = np.arange(i + 1, np.searchsorted(size, size[i] / 0.8 + 1, "right"))
+        pairs += [(i, int(j)) for j in js[may(i, js)] if linededup.alike(held[i], held[int(j)])] if len(js) else []
+    assert len(pairs) > 30
+    want = sum(a != b for a, b in enumerate(roots(len(held), pairs)))
+    kept = {linededup.normalised(x).decode() for r in queries()["op6_linededup"](spark, "/root/testdata/sf0.001").collect() for x in (r.text or "").split("\n")}
+    gone = sum(x not in kept for x in held)
+    assert 0.9 * want <= gone <= want, (gone, want)
+
+
+def test_one_changed_letter(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    rows = []
+    for i in range(300):
+        words = [word() for _ in range(rng.integers(5, 60))]
+        rows.append((i, " ".join(words)))
+        k = rng.integers(len(words))
+        words[k] = words[k][:-1] + "z"
+        rows.append((1000 + i, " ".join(words)))
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), letters=True).collect()
+    assert sum(r.text == "" for r in out if r.doc_id >= 1000) >= 270 and all(r.text for r in out if r.doc_id < 1000)

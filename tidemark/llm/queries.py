@@ -49,7 +49,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with one line of each group kept, removed (places of the lines that went) of every document."""
-    return linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), removed_col="removed")
+    return linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), removed_col="removed", letters=True)
 
 
 def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
