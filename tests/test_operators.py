@@ -169,3 +169,16 @@ def test_inline_facts_nest(spark):
     page = '<p><ix:nonNumeric name="a:Note" contextRef="c">Sales of <ix:nonFraction name="us:Rev" contextRef="c1" scale="6" sign="-">1,234</ix:nonFraction> made</ix:nonNumeric></p>'
     got = filings.inline_facts(spark.createDataFrame([(1, page), (2, None)], "id int, html string")).orderBy("id", "pos").collect()
     assert [(r.name, r.context, r.text, r.value) for r in got] == [("us:Rev", "c1", "1,234", -1234e6), ("a:Note", "c", "Sales of 1,234 made", None)]
+
+
+def test_no_query_is_cut_by_id(spark):
+    """Every line, order, supplier and part of the tables has its rows."""
+    from tidemark.plans import catalog
+
+    at = "/root/testdata/sf0.01"
+    q, t = catalog.queries(), lambda n: spark.read.parquet(f"{at}/{n}.parquet")
+    lines = t("lineitem").count()
+    assert q["scan13_schemaless"](spark, at).count() == lines
+    assert q["doc16_ownership"](spark, at).count() == lines
+    assert q["win36_vol_share"](spark, at).select("ticker").distinct().count() == t("lineitem").select("l_suppkey").distinct().count() > 20
+    assert q["join19_nearest"](spark, at).count() == t("part").where("p_partkey % 2 = 1").count()

@@ -82,7 +82,7 @@ def doc15_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan13_schemaless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as JSON rows with different keys, read as one table."""
-    li = s.table(spark, sf_dir, "lineitem").where("l_orderkey <= 200")
+    li = s.table(spark, sf_dir, "lineitem")
     row = F.when(F.col("l_linenumber") % 2 == 0, F.to_json(F.struct(F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("flag")))).otherwise(F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))))
     return filings.schemaless(li.select("l_orderkey", F.col("l_linenumber").alias("row_index"), row.alias("data_json")), ["l_orderkey", "row_index"])
 
@@ -107,8 +107,8 @@ def scan26_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc16_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of small customers written as ownership forms and read again, a row a line."""
-    li, o = s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "orders").where("o_custkey <= 20")
+    """Orders written as ownership forms and read again, a row a line."""
+    li, o = s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "orders")
     v = lambda tag, c: F.concat(F.lit(f"<{tag}><value>"), c.cast("string"), F.lit(f"</value></{tag}>"))
     line = F.concat(F.lit("<nonDerivativeTransaction>"), v("securityTitle", F.col("l_returnflag")), F.lit("<transactionCoding><transactionCode>"), F.col("l_linestatus"), F.lit("</transactionCode></transactionCoding><transactionAmounts>"), v("transactionShares", F.col("l_quantity").cast("int")), F.lit("</transactionAmounts></nonDerivativeTransaction>"))
     forms = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("o_orderkey", "o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda a: a["x"]), "").alias("lines"))
@@ -200,10 +200,10 @@ ORACLE_SQL = {
     "doc8_labels": "SELECT o_orderkey, pos, label, value FROM (SELECT o_orderkey, 0 AS pos, 'Order' AS label, CAST(o_orderkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 1, 'Status', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 2 + i, chr(65 + i::INT), CAST(i + 1 AS VARCHAR) FROM orders, range(3) r(i) WHERE o_orderkey % 2 = 0)",
     "doc26_matches": "WITH m AS (SELECT doc_id, regexp_extract(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') AS value, text FROM documents) SELECT doc_id, value, instr(text, value) - 1 AS start, instr(text, value) - 1 + length(value) AS \"end\" FROM m WHERE value <> ''",
     "doc15_located": "WITH w AS (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part) SELECT p_partkey, pos, instr(lower(p_name), lower(w)) - 1 AS start, instr(lower(p_name), lower(w)) - 1 + length(w) AS \"end\" FROM w",
-    "scan13_schemaless": "SELECT l_orderkey, l_linenumber AS row_index, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty, l_returnflag AS flag, CASE WHEN l_linenumber % 2 = 1 THEN l_linestatus END AS status FROM lineitem WHERE l_orderkey <= 200",
+    "scan13_schemaless": "SELECT l_orderkey, l_linenumber AS row_index, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty, l_returnflag AS flag, CASE WHEN l_linenumber % 2 = 1 THEN l_linestatus END AS status FROM lineitem",
     "scan20_feed": "SELECT o_custkey AS cik, CAST(o_orderkey AS VARCHAR) AS accessionNumber, strftime(o_orderdate, '%Y-%m-%d') AS filingDate, o_orderstatus AS form FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderdate >= '1995-01-01'",
     "scan26_company_facts": "SELECT o_custkey AS cik, o_orderstatus AS concept, 'USD' AS unit, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-01-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period_start, strftime(o_orderdate, '%Y-%m-%d') AS period_end, o_totalprice AS value, CAST(o_orderkey AS VARCHAR) AS accession FROM orders",
-    "doc16_ownership": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS issuer_cik, l_returnflag AS security, l_linestatus AS code, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS shares FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 20",
+    "doc16_ownership": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS issuer_cik, l_returnflag AS security, l_linestatus AS code, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS shares FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "doc17_holdings": "SELECT p_brand, p_name AS issuer, CAST(p_partkey AS VARCHAR) AS cusip, CAST(p_size AS DOUBLE) AS value FROM part",
     "scan36_values": f"WITH {s.EXTRACTIONS}, v AS (SELECT accession, field, max(lpad(CAST(CAST(value_num AS INT) AS VARCHAR), 3, '0')) AS v FROM e WHERE value_num IS NOT NULL GROUP BY 1, 2) SELECT accession, string_agg(field || '=' || v, ',' ORDER BY field) AS \"values\" FROM v GROUP BY 1",
     "strm_tumbling": f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST({_E} AS BIGINT) AS cents FROM events GROUP BY 1, 2",

@@ -111,7 +111,7 @@ def win34_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win36_vol_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     vol = F.when(w.index() >= 13, F.round(F.stddev_samp("ret").over(w.series().rowsBetween(-12, 0)), 9))
-    rows = w.with_changes(s.bars(spark, sf_dir).where("ticker <= 20")).withColumn("v", vol)
+    rows = w.with_changes(s.bars(spark, sf_dir)).withColumn("v", vol)
     return rows.select("ticker", "date", w.share_at_most(F.col("v")).alias("x"))
 
 
@@ -189,7 +189,7 @@ ORACLE_SQL = {
     "win41_halves": f"""WITH {s.BARS}, r AS (SELECT *, row_number() OVER ({P}) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM b), h AS (SELECT *, CASE WHEN k <= n // 2 THEN 1 ELSE 2 END AS half FROM r)
  SELECT ticker, half, count(*) AS n, min(date) AS first FROM h GROUP BY 1, 2""",
     "win7_ema": f"""WITH {s.BARS} SELECT ticker, date, round(list_reduce(h, lambda a, x: a + (x - a) * (2.0::DOUBLE / 13)), 6) AS x FROM (SELECT ticker, date, list(close) {frame(60)} AS h FROM b)""",
-    "win36_vol_share": f"""WITH {s.BARS}, c AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret, {IDX} AS i FROM b WHERE ticker <= 20), v AS (SELECT ticker, date, CASE WHEN i >= 13 THEN round(stddev_samp(ret) OVER ({P} ROWS 12 PRECEDING), 9) END AS v FROM c)
+    "win36_vol_share": f"""WITH {s.BARS}, c AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret, {IDX} AS i FROM b), v AS (SELECT ticker, date, CASE WHEN i >= 13 THEN round(stddev_samp(ret) OVER ({P} ROWS 12 PRECEDING), 9) END AS v FROM c)
  SELECT ticker, date, CASE WHEN v IS NOT NULL THEN round(len(list_filter(h, lambda x: x <= v)) / len(h) * 100) END AS x FROM (SELECT *, list(v) FILTER (WHERE v IS NOT NULL) OVER ({P} ROWS UNBOUNDED PRECEDING) AS h FROM v)""",
     "win14_drawdown": f"""WITH {s.BARS}
  SELECT ticker, date, round((SELECT CASE WHEN len(h) >= 2 THEN list_min(list_transform(range(1, len(h) + 1), lambda k: (h[k] / list_max(h[1:k]) - 1) * 100)) END), 6) AS x FROM (SELECT ticker, date, list(close) {frame(252)} AS h FROM b)""",
