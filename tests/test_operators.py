@@ -182,3 +182,23 @@ def test_no_query_is_cut_by_id(spark):
     assert q["doc16_ownership"](spark, at).count() == lines
     assert q["win36_vol_share"](spark, at).select("ticker").distinct().count() == t("lineitem").select("l_suppkey").distinct().count() > 20
     assert q["join19_nearest"](spark, at).count() == t("part").where("p_partkey % 2 = 1").count()
+
+
+def test_fits_use_every_row(spark):
+    """The sums give what the rows give, fold by fold; a tail of rows far from the rest is in the error."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 50, (6000, 2))
+    y = 3 + 2 * x[:, 0] - x[:, 1] + 0.05 * x[:, 0] * x[:, 1] + rng.normal(0, 2, 6000)
+    rows = spark.createDataFrame([("g", *map(float, (*a, b))) for a, b in zip(x, y, strict=True)], "g string, a double, b double, y double")
+    got = models.fit_groups(rows, "g", ["a", "b"], "y").first()
+    folds = np.array([r.f for r in rows.select(F.pmod(F.xxhash64("a", "b", "y"), F.lit(5)).alias("f")).collect()])
+    best = []
+    for d in (1, 2):
+        out = np.empty(6000)
+        for f in range(5):
+            out[folds == f] = models.BayesPolynomial(d).fit(x[folds != f], y[folds != f]).predict(x[folds == f])[0]
+        best.append((float(np.sqrt(np.mean((y - out) ** 2))), d))
+    assert got.n == 6000 and got.degree == min(best)[1] == 2
+    assert abs(got.rmse / min(best)[0] - 1) < 1e-9
+    twice = models.fit_groups(rows.union(rows), "g", ["a", "b"], "y").first()
+    assert twice.n == 12000 and abs(twice.rmse / got.rmse - 1) < 0.01

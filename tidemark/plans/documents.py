@@ -158,7 +158,7 @@ def ml5_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price per unit of each brand's parts by size and quantity."""
     li, p = s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "part")
     rows = li.join(p, li["l_partkey"] == p["p_partkey"]).select("p_brand", F.col("p_size").cast("double").alias("a"), "l_quantity", "l_extendedprice")
-    out = models.fit_groups(rows, "p_brand", ["a", "l_quantity"], "l_extendedprice", most=2000)
+    out = models.fit_groups(rows, "p_brand", ["a", "l_quantity"], "l_extendedprice")
     return out.select("p_brand", "n", "degree", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
