@@ -202,3 +202,20 @@ def test_fits_use_every_row(spark):
     assert abs(got.rmse / min(best)[0] - 1) < 1e-9
     twice = models.fit_groups(rows.union(rows), "g", ["a", "b"], "y").first()
     assert twice.n == 12000 and abs(twice.rmse / got.rmse - 1) < 0.01
+
+
+def test_ownership_has_both_tables(spark):
+    v = lambda tag, x: f"<{tag}><value>{x}</value></{tag}>"
+    moved = lambda name, n: v("securityTitle", name) + v("transactionDate", "2024-01-02") + f"<transactionCoding><transactionCode>M</transactionCode></transactionCoding><transactionAmounts>{v('transactionShares', n)}</transactionAmounts>"
+    kept = lambda name, n: v("securityTitle", name) + f"<postTransactionAmounts>{v('sharesOwnedFollowingTransaction', n)}</postTransactionAmounts>"
+    xml = (
+        f"<ownershipDocument><issuer><issuerCik>5</issuerCik></issuer><nonDerivativeTable><nonDerivativeTransaction>{moved('Common', 10)}</nonDerivativeTransaction><nonDerivativeHolding>{kept('Pref', 7)}</nonDerivativeHolding></nonDerivativeTable>"
+        f"<derivativeTable><derivativeTransaction>{moved('Option', 3)}</derivativeTransaction><derivativeTransaction>{moved('Warrant', 4)}</derivativeTransaction><derivativeHolding>{kept('Note', 9)}</derivativeHolding></derivativeTable></ownershipDocument>"
+    )
+    only = f"<ownershipDocument><derivativeTable><derivativeHolding>{kept('Note', 9)}</derivativeHolding></derivativeTable></ownershipDocument>"
+    got = filings.ownership(spark.createDataFrame([("d", xml), ("e", only)], "doc string, xml string")).collect()
+    found = {(r.doc, r.table, r.kind, r.pos, r.security, r.code, r.shares, r.owned_after) for r in got}
+    assert len(got) == 6 and found == {
+        ("d", "non_derivative", "transaction", 0, "Common", "M", 10.0, None), ("d", "non_derivative", "holding", 0, "Pref", None, None, 7.0), ("d", "derivative", "transaction", 0, "Option", "M", 3.0, None),
+        ("d", "derivative", "transaction", 1, "Warrant", "M", 4.0, None), ("d", "derivative", "holding", 0, "Note", None, None, 9.0), ("e", "derivative", "holding", 0, "Note", None, None, 9.0),
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import html, models, text as t
@@ -107,12 +107,17 @@ def scan26_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc16_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as ownership forms and read again, a row a line."""
+    """Orders written as ownership forms, every other line as a derivative, and read again, a row a line."""
     li, o = s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "orders")
     v = lambda tag, c: F.concat(F.lit(f"<{tag}><value>"), c.cast("string"), F.lit(f"</value></{tag}>"))
-    line = F.concat(F.lit("<nonDerivativeTransaction>"), v("securityTitle", F.col("l_returnflag")), F.lit("<transactionCoding><transactionCode>"), F.col("l_linestatus"), F.lit("</transactionCode></transactionCoding><transactionAmounts>"), v("transactionShares", F.col("l_quantity").cast("int")), F.lit("</transactionAmounts></nonDerivativeTransaction>"))
-    forms = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("o_orderkey", "o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda a: a["x"]), "").alias("lines"))
-    xml = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>"), F.col("o_custkey"), F.lit("</issuerCik></issuer><nonDerivativeTable>"), F.col("lines"), F.lit("</nonDerivativeTable></ownershipDocument>"))
+    line = F.concat(v("securityTitle", F.col("l_returnflag")), F.lit("<transactionCoding><transactionCode>"), F.col("l_linestatus"), F.lit("</transactionCode></transactionCoding><transactionAmounts>"), v("transactionShares", F.col("l_quantity").cast("int")), F.lit("</transactionAmounts>"))
+    forms = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("o_orderkey", "o_custkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("lines"))
+
+    def part(tag: str, odd: int) -> Column:
+        rows = F.transform(F.filter("lines", lambda a: a["l_linenumber"] % 2 == odd), lambda a: F.concat(F.lit(f"<{tag}Transaction>"), a["x"], F.lit(f"</{tag}Transaction>")))
+        return F.concat(F.lit(f"<{tag}Table>"), F.array_join(rows, ""), F.lit(f"</{tag}Table>"))
+
+    xml = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>"), F.col("o_custkey"), F.lit("</issuerCik></issuer>"), part("nonDerivative", 1), part("derivative", 0), F.lit("</ownershipDocument>"))
     return filings.ownership(forms.select("o_orderkey", xml.alias("xml"))).select("o_orderkey", "issuer_cik", "security", "code", "shares")
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import window as W
 ENTRY = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
 FEED = "struct<accessionNumber:array<string>,filingDate:array<string>,form:array<string>,items:array<string>,primaryDocument:array<string>>"
 VALUE = "struct<value:string>"
+POST = f"postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{VALUE}>"
+MOVED = f"securityTitle:{VALUE},transactionDate:{VALUE},transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:{VALUE},transactionPricePerShare:{VALUE},transactionAcquiredDisposedCode:{VALUE}>,{POST}"
 OWNERSHIP = (
     "issuer struct<issuerCik:string,issuerName:string,issuerTradingSymbol:string>, reportingOwner array<struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,officerTitle:string>>>, "
-    f"periodOfReport string, nonDerivativeTable struct<nonDerivativeTransaction:array<struct<securityTitle:{VALUE},transactionDate:{VALUE},transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:{VALUE},transactionPricePerShare:{VALUE},transactionAcquiredDisposedCode:{VALUE}>,postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{VALUE}>>>,"
-    f"nonDerivativeHolding:array<struct<securityTitle:{VALUE},postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{VALUE}>>>>"
+    f"periodOfReport string, nonDerivativeTable struct<nonDerivativeTransaction:array<struct<{MOVED}>>,nonDerivativeHolding:array<struct<securityTitle:{VALUE},{POST}>>>, "
+    f"derivativeTable struct<derivativeTransaction:array<struct<{MOVED}>>,derivativeHolding:array<struct<securityTitle:{VALUE},{POST}>>>"
 )
 HOLDINGS = "infoTable array<struct<nameOfIssuer:string,titleOfClass:string,cusip:string,value:string,shrsOrPrnAmt:struct<sshPrnamt:string,sshPrnamtType:string>,putCall:string>>"
 OFFERING = "primaryIssuer struct<cik:string,entityName:string>, offeringData struct<offeringSalesAmounts:struct<totalOfferingAmount:string,totalAmountSold:string,totalRemaining:string>>"
@@ -96,16 +98,28 @@ def schemaless(rows: DataFrame, keep: Sequence[str], json: str = "data_json", or
 
 
 def ownership(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """A row per transaction or holding of an ownership form, the issuer and first owner with each."""
+    """A row per transaction or holding of both tables of an ownership form, the issuer and first owner with each."""
     held = rows.withColumn("x", F.from_xml(plain_tags(F.col(xml)), OWNERSHIP, {"rowTag": "ownershipDocument"}))
     owner = F.get(F.col("x.reportingOwner"), 0)
     head = [F.col("x.issuer.issuerCik").alias("issuer_cik"), F.col("x.issuer.issuerName").alias("issuer"), F.col("x.issuer.issuerTradingSymbol").alias("ticker"), owner["reportingOwnerId"]["rptOwnerName"].alias("owner"), owner["reportingOwnerRelationship"]["officerTitle"].alias("title")]
     own = [c for c in rows.columns if c != xml]
+    text = lambda c, name: c.cast("string").alias(name)
+    number = lambda c, name: c.try_cast("double").alias(name)
     none = F.lit(None).cast("string")
-    t, h = F.col("t"), F.col("h")
-    moved = held.select(*own, *head, F.posexplode("x.nonDerivativeTable.nonDerivativeTransaction").alias("pos", "t")).select(*own, "issuer_cik", "issuer", "ticker", "owner", "title", F.lit("transaction").alias("kind"), "pos", t["securityTitle"]["value"].alias("security"), t["transactionDate"]["value"].alias("date"), t["transactionCoding"]["transactionCode"].alias("code"), t["transactionAmounts"]["transactionShares"]["value"].try_cast("double").alias("shares"), t["transactionAmounts"]["transactionPricePerShare"]["value"].try_cast("double").alias("price"), t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"].try_cast("double").alias("owned_after"))
-    kept = held.select(*own, *head, F.posexplode("x.nonDerivativeTable.nonDerivativeHolding").alias("pos", "h")).select(*own, "issuer_cik", "issuer", "ticker", "owner", "title", F.lit("holding").alias("kind"), "pos", h["securityTitle"]["value"].alias("security"), none.alias("date"), none.alias("code"), none.cast("double").alias("shares"), none.cast("double").alias("price"), h["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"].try_cast("double").alias("owned_after"))
-    return moved.unionByName(kept)
+
+    def line(table: str, kind: str) -> Column:
+        def fields(t: Column, pos: Column) -> Column:
+            moved = kind == "transaction"
+            return F.struct(
+                F.lit(table).alias("table"), F.lit(kind).alias("kind"), pos.alias("pos"), text(t["securityTitle"]["value"], "security"), text(t["transactionDate"]["value"] if moved else none, "date"), text(t["transactionCoding"]["transactionCode"] if moved else none, "code"),
+                number(t["transactionAmounts"]["transactionShares"]["value"] if moved else none, "shares"), number(t["transactionAmounts"]["transactionPricePerShare"]["value"] if moved else none, "price"), number(t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"], "owned_after"),
+            )
+
+        tag = "nonDerivative" if table == "non_derivative" else "derivative"
+        return F.coalesce(F.transform(f"x.{tag}Table.{tag}{kind.title()}", fields), F.array())
+
+    lines = F.concat(*[line(table, kind) for table in ("non_derivative", "derivative") for kind in ("transaction", "holding")])
+    return held.select(*own, *head, F.explode(lines).alias("l")).select(*own, "issuer_cik", "issuer", "ticker", "owner", "title", "l.*")
 
 
 def holdings(rows: DataFrame, xml: str = "xml") -> DataFrame:
