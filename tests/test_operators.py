@@ -219,3 +219,14 @@ def test_ownership_has_both_tables(spark):
         ("d", "non_derivative", "transaction", 0, "Common", "M", 10.0, None), ("d", "non_derivative", "holding", 0, "Pref", None, None, 7.0), ("d", "derivative", "transaction", 0, "Option", "M", 3.0, None),
         ("d", "derivative", "transaction", 1, "Warrant", "M", 4.0, None), ("d", "derivative", "holding", 0, "Note", None, None, 9.0), ("e", "derivative", "holding", 0, "Note", None, None, 9.0),
     }
+
+
+@pytest.mark.parametrize(("ge", "directions", "weak", "verdict"), [(6, "uuu", 0, "confirmed"), (6, "udu", 0, "inconclusive"), (24, "uuu", 0, "inconclusive"), (29, "uuu", 0, "refuted"), (29, "uuu", 4, "inconclusive"), (9, "uuu", 0, "inconclusive"), (99, "", 0, "refuted")])
+def test_verdicts_are_the_reference_rule(spark, ge, directions, weak, verdict):
+    """Of 99 null universes `ge` reach the trials that confirm; p is (ge + 1) / 100."""
+    trials = [(False, True, d) for d in directions] + [(True, True, "d")] * weak + [(False, False, "d")] * (not directions)
+    nulls = [(len(directions) if i < ge else len(directions) - 1,) for i in range(99)]
+    found = models.determined(spark.createDataFrame(trials, "underpowered boolean, confirms boolean, direction string"), spark.createDataFrame(nulls, "n int")).first()
+    assert found.verdict == verdict
+    assert found.n_scored == len(trials) - weak and found.n_confirming == len(directions)
+    assert found.empirical_p == (ge + 1) / 100
