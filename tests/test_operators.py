@@ -230,3 +230,11 @@ def test_verdicts_are_the_reference_rule(spark, ge, directions, weak, verdict):
     assert found.verdict == verdict
     assert found.n_scored == len(trials) - weak and found.n_confirming == len(directions)
     assert found.empirical_p == (ge + 1) / 100
+
+
+def test_time_joins_have_every_left_row(spark):
+    from tidemark.plans import catalog
+
+    at = "/root/testdata/sf0.001"
+    for name, table in (("join7_asof", "events"), ("join7_asof_strict", "events"), ("join18_forward", "events"), ("join8_vol_at", "lineitem")):
+        assert catalog.queries()[name](spark, at).count() == spark.read.parquet(f"{at}/{table}.parquet").count()

@@ -15,11 +15,11 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("note"), F.col("user_id").alias("k"), F.col("ts").alias("lt"))
+    return s.table(spark, sf_dir, "events").select(F.col("event_id").alias("note"), F.col("user_id").alias("k"), F.col("ts").alias("lt"))
 
 
 def join7_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value of a user up to each note."""
+    """The last value of a user up to each event, taken as a note."""
     return j.asof(_notes(spark, sf_dir), _prices(spark, sf_dir), "k", "lt", "rt", ["px"]).select("note", "px")
 
 
@@ -32,10 +32,10 @@ def join18_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join8_vol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close and trailing deviation of the supplier's bar on or before each order line's receipt of nation stand-in: part of note dates."""
+    """Close and trailing deviation of the supplier's bar on or before each order line's receipt less three days, taken as a note's date."""
     bars = s.bars(spark, sf_dir).withColumn("lret", F.log(F.col("close") / F.lag("close", 1).over(w.series())))
     states = bars.select(F.col("ticker").alias("k"), F.col("date").alias("rt"), "close", w.annual_vol(20).alias("v20"))
-    notes = s.table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("k"), F.date_add(F.to_date("l_shipdate"), -3).alias("lt"))
+    notes = s.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("k"), F.date_add(F.to_date("l_shipdate"), -3).alias("lt"))
     out = j.asof(notes, states, "k", "lt", "rt", ["close", "v20"])
     return out.select("l_orderkey", "close", "v20")
 
@@ -107,13 +107,13 @@ def join5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (join7_asof, join7_asof_strict, join18_forward, join8_vol_at, join13_unpriced, join17_contained, join18_calendar, join19_nearest, join21_carried, join25_lookup, join29_reconciled, join31_dangling, join3_runs, join5_anchors)}
 
-_N = "n AS (SELECT event_id AS note, user_id AS k, ts AS lt FROM events WHERE event_id % 3 = 0), r AS (SELECT user_id AS k, ts AS rt, max(value) AS px FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
+_N = "n AS (SELECT event_id AS note, user_id AS k, ts AS lt FROM events), r AS (SELECT user_id AS k, ts AS rt, max(value) AS px FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
 ORACLE_SQL = {
     "join7_asof": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt >= r.rt",
     "join7_asof_strict": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt > r.rt",
     "join18_forward": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt <= r.rt",
     "join8_vol_at": f"""WITH {s.BARS}, l AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS lret FROM b), st AS (SELECT ticker, date, close, CASE WHEN count(lret) OVER w = 20 THEN round(stddev_samp(lret) OVER w * sqrt(252) * 100, 4) END AS v20 FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)),
- n AS (SELECT l_orderkey, l_suppkey AS k, CAST(l_shipdate AS DATE) - 3 AS lt FROM lineitem WHERE l_linenumber = 2) SELECT l_orderkey, close, v20 FROM n ASOF LEFT JOIN st ON n.k = st.ticker AND n.lt >= st.date""",
+ n AS (SELECT l_orderkey, l_suppkey AS k, CAST(l_shipdate AS DATE) - 3 AS lt FROM lineitem) SELECT l_orderkey, close, v20 FROM n ASOF LEFT JOIN st ON n.k = st.ticker AND n.lt >= st.date""",
     "join13_unpriced": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "join17_contained": "SELECT l_orderkey AS k, l_linenumber, CAST(l_shipdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 90 AS oe FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AND CAST(l_shipdate AS DATE) + 10 <= CAST(o_orderdate AS DATE) + 90",
     "join18_calendar": f"WITH {s.TRADES} SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS date FROM t GROUP BY 1 HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM t)",
