@@ -238,3 +238,10 @@ def test_time_joins_have_every_left_row(spark):
     at = "/root/testdata/sf0.001"
     for name, table in (("join7_asof", "events"), ("join7_asof_strict", "events"), ("join18_forward", "events"), ("join8_vol_at", "lineitem")):
         assert catalog.queries()[name](spark, at).count() == spark.read.parquet(f"{at}/{table}.parquet").count()
+
+
+def test_labels_further_off_are_found():
+    far = "Maturity Date:" + " " * 100 + "2024-01-02"
+    assert text._candidates(far)[0]["label"] == "Maturity Date"
+    assert text._candidates("Coupon Rate:\n5%")[0]["label"] == "Coupon Rate"
+    assert text._candidates("Coupon Rate:" + " " * 230 + "5%")[0]["label"] is None

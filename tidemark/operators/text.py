@@ -65,20 +65,21 @@ def forward_looking(docs: DataFrame, cue: str, key: str = "doc_id", text: str =
 
 
 CANDIDATE = re.compile(r"(?P<date>\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b)|(?P<number>" + NUMBER + r"%?)")
+#: Letters before a value in which its label is sought, over the end of a line too.
+LABEL_WINDOW = 220
 LABEL = re.compile(r"([A-Za-z][A-Za-z ]{0,40}?)\s*[:=]\s*$")
 
 
 def _candidates(text: str | None) -> list[dict]:
     out = []
     for m in CANDIDATE.finditer(text or ""):
-        line = text.rfind("\n", 0, m.start()) + 1
-        near = LABEL.search(text[max(line, m.start() - 60) : m.start()])
+        near = LABEL.search(text[max(0, m.start() - LABEL_WINDOW) : m.start()])
         out.append({"kind": m.lastgroup, "value": m[0], "label": near[1].strip() if near else None, "start": m.start(), "end": m.end()})
     return out
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per number or date of a text with its place and the label that stands before it on the line."""
+    """A row per number or date of a text with its place and the label that stands right before it."""
 
     @F.pandas_udf("array<struct<kind:string,value:string,label:string,start:int,end:int>>")
     def run(texts: pd.Series) -> pd.Series:
