@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: 64-bit fingerprints, a byte-position index with count filtering, connected groups.
+"""SimHash near-duplicates: 64-bit fingerprints, an index of triples of bytes with an exact bit check, connected groups.
 
 Fingerprints that differ in at most 3 of 64 bits differ in at most 3 of their 8 bytes, so they share at least 5 bytes at
 equal positions. Posting lists of single bytes (2,048 lists in all) would hold a 256th of all rows each and so give all
 pairs; this index therefore posts three bytes at a time. The 8 positions are halved; of 5 shared positions, at least
-3 lie in one half, so the 4 + 4 triples inside the halves (24 bits each) meet every pair that can reach the
-count. A pair that meets is held to the count by the exact bit count: at most 3 differing bits imply 5 shared bytes.
+3 lie in one half, so the 4 + 4 triples inside the halves (24 bits each) meet every pair within 3 bits. No
+count of shared bytes is taken: the exact bit count of a pair that meets decides, and at most 3 differing bits imply 5 shared bytes.
 """
 
 from __future__ import annotations
