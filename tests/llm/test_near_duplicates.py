@@ -79,27 +79,6 @@ def test_distance_and_bound():
             assert ok[j] or not linededup.alike(a, b)
 
 
-def test_lines_are_brute_force(docs):
-    source = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    first, keys = {}, []
-    for i in sorted(source):
-        for k, line in enumerate(source[i].split("\n")):
-            n = linededup.normalised(line)
-            if n and n not in first:
-                first[n] = (i, k)
-                keys.append(n)
-    fp = linededup.simhashes(keys)
-    near = [(a, int(b)) for a in range(len(keys)) for b in np.flatnonzero(np.bitwise_count(fp ^ fp[a]) <= 3) if a < b and linededup.alike(keys[a].decode(), keys[b].decode())]
-    own = dict(zip(keys, roots(len(keys), near), strict=True))
-    best = {}
-    for n in keys:
-        best[own[n]] = min(best.get(own[n], (1 << 60, 0)), first[n])
-    for r in linededup.dedup(docs, removed_col="gone").collect():
-        lines = source[r.doc_id].split("\n")
-        gone = [k for k, x in enumerate(lines) if linededup.normalised(x) and best[own[linededup.normalised(x)]] != (r.doc_id, k)]
-        assert list(r.gone) == gone and r.text == "\n".join(x for k, x in enumerate(lines) if k not in gone)
-
-
 def test_fuzzy_lines_and_odd_rows(spark, odd, none):
     line = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, f"{line}\nfirst"), (2, f"{line.upper()}\nsecond"), (3, f"  {line}  \nthird\nthird"), (4, None)]
@@ -114,8 +93,25 @@ def test_fuzzy_lines_and_odd_rows(spark, odd, none):
 
 def test_search_connects_what_agrees():
     values = np.array([0, 0, 0, 7, 255], np.uint64)
-    assert links.explored(values, 3) == [(0, 1), (0, 2), (0, 3)]
-    assert links.explored(values, 3, lambda i, j: abs(i - j) == 1) == [(0, 1), (1, 2), (2, 3)]
+    near = lambda i, js: np.bitwise_count(values[js] ^ values[i]) <= 3
+    assert links.forest(5, near) == [(0, 1), (0, 2), (0, 3)]
+    assert links.forest(5, near, lambda i, j: abs(i - j) == 1) == [(0, 1), (1, 2), (2, 3)]
+    assert links.bridges(["a", "a", "b", "b", "c"], np.array([0, 0, 1, 1, 1], bool), near) == [(2, 0)]
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Blocks of 16 in a bucket of 500 nodes: a tight group, chains and lone nodes, against brute force."""
+    rng = np.random.default_rng(5)
+    tight = [1 << 60 | int(x) << 40 for x in rng.integers(0, 64, 300)]
+    chain = [sum(1 << k for k in range(n)) for n in range(0, 40, 2)]
+    values = np.array(sorted({*tight, *chain, *map(int, rng.integers(0, 1 << 40, 150))}), np.uint64)
+    rows = spark.createDataFrame([(1, int(x)) for x in values.view(np.int64)] + [(2, 5)], "k long, node long")
+    for most in (2, 3):
+        got = [tuple(np.array([r.a, r.b], np.int64).view(np.uint64)) for r in links.linked(rows, ["k"], simhash._test(most), block=16).collect()]
+        at = {int(v): i for i, v in enumerate(values)}
+        want = [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= most)]
+        assert all(np.bitwise_count(a ^ b) <= most for a, b in got) and len(got) < 4 * len(values)
+        assert roots(len(values), [(at[int(a)], at[int(b)]) for a, b in got]) == roots(len(values), want)
 
 
 def test_lines_with_changed_words_go(spark, docs):
@@ -149,5 +145,5 @@ def test_one_changed_letter(spark):
         k = rng.integers(len(words))
         words[k] = words[k][:-1] + "z"
         rows.append((1000 + i, " ".join(words)))
-    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), letters=True).collect()
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.text == "" for r in out if r.doc_id >= 1000) >= 270 and all(r.text for r in out if r.doc_id < 1000)

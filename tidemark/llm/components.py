@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import prepare
+from tidemark.llm.rows import pieces, prepare
 
-#: A node's edges are dealt to so many tasks, as a large group's root has an edge to each member.
-SALT = 8
+#: A node's edges are dealt to one task for so many edges of the graph, as a large group's root has an edge to each member.
+EDGES = 50_000
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame, salt: int) -> DataFrame:
     """(u, v) with the least neighbour m of u, the node itself included."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = least.withColumn("s", F.explode(F.array([F.lit(i) for i in range(SALT)])))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(least, ["u", "s"])
+    least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)).cast("int")).join(least.hint("merge"), ["u", "s"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def connected(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = state
+        before, salt = state, pieces(state[0], EDGES)
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _lowest(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _lowest(both, salt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _lowest(large, salt).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()

@@ -1,8 +1,12 @@
-"""Links between fingerprints that agree on part of their bits, found bucket by bucket.
+"""Edges that connect what links connect, found bucket by bucket, without emitting all pairs of a bucket.
 
-A bucket holds the rows that share a key. Inside it, a search goes from row to row and compares each one only with
-rows that no search has reached, so a tight group of m rows costs about m comparisons and gives m - 1 edges, not m * m
-pairs; the edges connect the same rows as all links would.
+A bucket holds the nodes that share a key. Inside it a search goes from node to node and compares each one only with
+nodes that no search has reached, so a tight bucket of m nodes costs about m comparisons and gives m - 1 edges.
+
+A crowded bucket is cut into blocks, so that no task holds more than a block. Its blocks are searched first; then one node
+of each component that the blocks left; and at last the nodes outside the bucket's largest component against all its
+blocks. Nodes that are connected already are not compared again, so each node of the largest component is sent to one task, and
+the result still connects all that any pair of the bucket's nodes would.
 """
 
 from __future__ import annotations
@@ -14,57 +18,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import blocks_of, prepare
-
-#: Rows of a block. A larger bucket is cut into blocks and each pair of blocks goes to a task.
-BLOCK = 512
-
-
-def spread(keyed: DataFrame, keys: list[str], row: str, *, least: int = 2) -> DataFrame:
-    """Rows of the buckets with at least `least` rows, with p and q, the pair of blocks that they meet in."""
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
-    rows = keyed.join(counts, keys).withColumn("__nb", blocks_of(F.col("__n"), BLOCK)).withColumn("__b", F.pmod(F.xxhash64(row), F.col("__nb")).cast("int"))
-    others = F.when(F.col("__nb") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("__nb") - 1), lambda o: o != F.col("__b")))
-    rows = rows.withColumn("__o", F.explode(others))
-    return rows.select(*keyed.columns, F.least("__b", "__o").alias("p"), F.greatest("__b", "__o").alias("q"))
+from tidemark.llm.components import connected
+from tidemark.llm.rows import joined_hot, prepare, stored
 
+#: Nodes of a block.
+BLOCK = 4096
+#: Given the columns of a bucket: near(i, js), which of js may be linked with i, and agree(i, j), which decides.
+Test = Callable[[dict], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, int], bool] | None]]
 
-def within(values: np.ndarray, one: np.uint64, most: int) -> np.ndarray:
-    """Which values differ from one in at most `most` bits."""
-    return np.bitwise_count(values ^ one) <= most
 
-
-def explored(values: np.ndarray, most: int, agree: Callable[[int, int], bool] | None = None, may: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect what links connect: at most `most` differing bits and, if given, agree(i, j).
-
-    may(i, js), if given, is False where i can't agree with a j; it is asked for many at once, before agree.
-    """
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the links among n nodes."""
     edges: list[tuple[int, int]] = []
-    rest = np.arange(len(values))
+    rest = np.arange(n)
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            near = within(values[rest], values[i], most)
-            if not near.any():
+            hit = near(i, rest)
+            if not hit.any():
                 continue
-            if may:
-                at = np.flatnonzero(near)
-                near[at] = may(i, rest[at])
             if agree:
-                for at in np.flatnonzero(near):
-                    near[at] = agree(i, int(rest[at]))
-            found = rest[near]
-            rest = rest[~near]
+                for at in np.flatnonzero(hit):
+                    hit[at] = agree(i, int(rest[at]))
+            found = rest[hit]
+            rest = rest[~hit]
             edges += [(i, int(j)) for j in found]
             queue += found.tolist()
     return edges
 
 
-def edges_of(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray | list]], list[tuple]], columns: list[str], schema: str) -> DataFrame:
-    """work gets the columns of one bucket (or pair of its blocks) and gives rows of the schema."""
+def bridges(labels: list, moving: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Edges between nodes of different labels, a moving node with any other; labels that an edge joins count as one."""
+    own = np.unique(np.array(labels, object).astype(str), return_inverse=True)[1]
+    edges: list[tuple[int, int]] = []
+    for i in np.flatnonzero(moving):
+        js = np.flatnonzero((own != own[i]) & (~moving | (np.arange(len(own)) > i)))
+        for j in js[near(int(i), js)] if len(js) else js:
+            if own[j] != own[i] and (agree is None or agree(int(i), int(j))):
+                edges.append((int(i), int(j)))
+                own[own == own[j]] = own[i]
+    return edges
+
+
+def edges_of(rows: DataFrame, group: list[str], work: Callable[[dict], list[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """work gets the columns of one bucket (or block) and gives rows of the schema."""
     prepare(rows.sparkSession)
-    group = [*keys, "p", "q"]
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,21 +90,64 @@ def edges_of(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndar
                 change |= v[1:] != v[:-1]
             return np.flatnonzero(change) + 1
 
-        waiting = 0
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            waiting += batch.num_rows
-            if waiting < 4096:
+            if sum(x.num_rows for x in held) < 4096:
                 continue
             table = pa.concat_tables(held)
             ends = cuts(table)
             if len(ends):
                 yield from emit(done(table, ends))
                 table = table.slice(int(ends[-1]))
-            held, waiting = [table], table.num_rows if not len(ends) else 0
+            held = [table]
         if held:
             table = pa.concat_tables(held)
             yield from emit(done(table, np.append(cuts(table), table.num_rows)))
 
-    dealt = rows.repartition(*group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(run, schema).distinct()
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema).distinct()
+
+
+def linked(members: DataFrame, group: list[str], test: Test, payload: DataFrame | None = None, on: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b), stored, that connect the nodes of each bucket as all links between its nodes do.
+
+    members: the columns of group and `node`; payload, if given, has what test needs, for the columns of `on` once each.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}"
+    members = members.select(*group, "node", *[c for c in on or [] if c not in ("node", *group)])
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    held = joined_hot(members, sizes, group, "__n", members.count())
+    cut = F.ceil(F.col("__n") / block).cast("int")
+    held = stored(held.withColumn("nb", cut).withColumn("b", F.pmod(F.xxhash64("node", *group), F.col("nb")).cast("int")).drop("__n"), "members")
+    columns = ["node", *(c for c in (payload.columns if payload is not None else []) if c != "node"), *(c for c in group if payload is None or c not in payload.columns)]
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows if payload is None else rows.join(payload.hint("merge"), on)
+
+    def within(group_: dict) -> list[tuple]:
+        near, agree = test(group_)
+        return [(group_["node"][i], group_["node"][j]) for i, j in forest(len(group_["node"]), near, agree)]
+
+    def across(group_: dict) -> list[tuple]:
+        near, agree = test(group_)
+        return [(group_["node"][i], group_["node"][j]) for i, j in bridges(list(group_["root"]), np.array(group_["moving"], bool), near, agree)]
+
+    edges = stored(edges_of(whole(held), [*group, "b"], within, columns, schema), "edges")
+    big = held.where("nb > 1")
+    if big.isEmpty():
+        return edges
+
+    def labelled(found: DataFrame) -> DataFrame:
+        roots = connected(found)
+        return stored(big.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+
+    first = labelled(edges).groupBy(*group, "root", *[c for c in on or [] if c not in ("node", *group)]).agg(F.min("node").alias("node"))
+    counts = first.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    first = joined_hot(first, counts, group, "__n", first.count()).withColumn("b", F.pmod(F.xxhash64("node", *group), F.ceil(F.col("__n") / block)).cast("int"))
+    edges = edges.unionByName(stored(edges_of(whole(first.drop("__n", "root")), [*group, "b"], within, columns, schema), "edges"))
+    now = labelled(edges)
+    parts = now.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("m"))
+    most = parts.groupBy(*group).agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("__n")).where("kinds > 1")
+    last = joined_hot(now, most, group, "__n", now.count()).withColumn("moving", F.col("root") != F.col("top"))
+    last = last.withColumn("b", F.explode(F.when(F.col("moving"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("b")))).drop("__n", "top", "kinds")
+    return edges.unionByName(stored(edges_of(whole(last), [*group, "b"], across, [*columns, "root", "moving"], schema), "edges"))

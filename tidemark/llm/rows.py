@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts can be long, so batches are kept short to bound a worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch. Texts can be long, so the bytes bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 8192, 1 << 20
+#: Bits of the filter of `parted`.
+FILTER_BITS = 1 << 24
 
 
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package, bounds Arrow batches and sees to a checkpoint folder.
 
-    The folder is the one that spark.checkpoint.dir names; one is made only where none is set, as in tests.
+    The folder is the one that spark.checkpoint.dir names; one is made only where none is set and Spark runs in one process, as in tests.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
@@ -27,9 +30,21 @@ def prepare(spark: SparkSession) -> None:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet in the checkpoint folder and read again, so that lost executors cost no more than one stage."""
+    prepare(frame.sparkSession)
+    path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -54,11 +69,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def blocks_of(n: Column, most: int) -> Column:
-    """How many blocks of about `most` rows hold n rows."""
-    return F.ceil(n / F.lit(most)).cast("int")
-
-
 def pieces(total: float, most: float) -> int:
     return max(1, math.ceil(total / most))
 
@@ -74,5 +84,18 @@ def joined_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, t
     hot = table.where(large).select(*keys, F.struct(*rest).alias("__hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     near = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in rest])
-    far = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(table.where(~large), keys)
+    far = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(table.where(~large).hint("merge"), keys)
     return near.unionByName(far.select(*near.columns))
+
+
+def parted(frame: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of frame whose keys may be in the table (all that are, and few others), and the rest.
+
+    The rest needs no join with the table, so its texts are not shuffled. A broadcast table of at most FILTER_BITS / 64 rows says
+    which; as it fills up, more rows go to the first part.
+    """
+    bit = f"pmod(xxhash64({', '.join(keys)}), {FILTER_BITS})"
+    words = table.select(F.expr(f"shiftright({bit}, 6)").alias("__tm_word"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("__tm_word").agg(F.bit_or("b").alias("__tm_bits"))
+    marked = frame.withColumn("__tm_word", F.expr(f"shiftright({bit}, 6)")).join(F.broadcast(words), "__tm_word", "left")
+    marked = marked.withColumn("__tm_may", F.expr(f"coalesce(shiftrightunsigned(__tm_bits, cast({bit} % 64 as int)) & 1, 0) = 1"))
+    return marked.where("__tm_may").select(*frame.columns), marked.where("not __tm_may").select(*frame.columns)

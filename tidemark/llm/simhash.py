@@ -1,14 +1,15 @@
-"""SimHash near-duplicates: 64-bit fingerprints, an index of triples of bytes with an exact bit check, connected groups.
+"""SimHash near-duplicates: 64-bit fingerprints, an inverted index on byte positions with count filtering, connected groups.
 
-Fingerprints that differ in at most 3 of 64 bits differ in at most 3 of their 8 bytes, so they share at least 5 bytes at
-equal positions. Posting lists of single bytes (2,048 lists in all) would hold a 256th of all rows each and so give all
-pairs; this index therefore posts three bytes at a time. The 8 positions are halved; of 5 shared positions, at least
-3 lie in one half, so the 4 + 4 triples inside the halves (24 bits each) meet every pair within 3 bits. No
-count of shared bytes is taken: the exact bit count of a pair that meets decides, and at most 3 differing bits imply 5 shared bytes.
+Fingerprints that differ in at most 3 of 64 bits differ in at most 3 of their 8 bytes, so they share at least LEAST_SHARED = 5
+bytes at equal positions. The index posts the bytes of a fingerprint by position. A list of one byte would hold a 256th of all rows, so
+a posting has three bytes at three positions of one half: of 5 shared positions at least 3 lie in one half, so the 4 + 4
+triples bring every pair together that can reach the count. For each pair that meets in a list the positions with equal bytes are
+tallied; pairs with fewer than LEAST_SHARED go, and the others' bits are verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
-from tidemark.llm.links import edges_of, explored, spread
-from tidemark.llm.rows import joined_hot, map_batches, prepare
+from tidemark.llm.links import linked
+from tidemark.llm.rows import joined_hot, map_batches, parted, prepare, stored
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
+#: Of the 8 byte positions, what a pair within MAX_BITS shares at least.
+LEAST_SHARED = 8 - MAX_BITS
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
 #: Byte positions of the postings: the triples of either half.
@@ -70,18 +73,33 @@ def _mask(triple: tuple[int, ...]) -> int:
     return int(np.array(sum(255 << (8 * i) for i in triple), np.uint64).astype(np.int64))
 
 
+def shared_bytes(values: np.ndarray, one: np.uint64) -> np.ndarray:
+    """The tally: at how many of the 8 byte positions each value has the same byte as one."""
+    return 8 - np.count_nonzero((values ^ one).view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _test(max_bits: int) -> Callable[[dict], tuple]:
+    def test(group: dict) -> tuple:
+        values = group["node"].view(np.uint64)
+
+        def near(i: int, js: np.ndarray) -> np.ndarray:
+            others = values[js]
+            out = shared_bytes(others, values[i]) >= LEAST_SHARED
+            out[out] = np.bitwise_count(others[out] ^ values[i]) <= max_bits
+            return out
+
+        return near, None
+
+    return test
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints of column fp wherever links of up to 3 bits connect them."""
     if max_bits > MAX_BITS:
         raise ValueError("the postings are complete up to 3 differing bits")
     posts = F.explode(F.array([F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("k")) for j, t in enumerate(TRIPLES)]))
-    keyed = nodes.select("fp", posts.alias("post")).select("post.j", "post.k", "fp")
-
-    def work(group: dict) -> list[tuple]:
-        values = group["fp"]
-        return [(int(values[i]), int(values[j])) for i, j in explored(values.view(np.uint64), max_bits)]
-
-    return edges_of(spread(keyed, ["j", "k"], "fp"), ["j", "k"], work, ["fp"], "a long, b long")
+    keyed = nodes.select("fp", posts.alias("post")).select("post.j", "post.k", F.col("fp").alias("node"))
+    return linked(keyed, ["j", "k"], _test(max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -97,13 +115,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
     """(id, th, fp, component_id, root); root is the least fingerprint of the group."""
     prepare(docs.sparkSession)
-    marked = fingerprints(docs, id_col, text_col).checkpoint()
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = connected(links(nodes, max_bits))
-    groups = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    least = groups.groupBy("root").agg(F.min("least").alias("component"))
-    of = groups.select("fp", "root").join(least, "root").select("fp", "root", "component")
-    found = nodes.join(of, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
+    groups = stored(nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "groups")
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    found = stored(joined_hot(groups, least, ["root"], "m", groups.count()).select("fp", "n", "component_id", "root"), "found")
     return joined_hot(marked, found, ["fp"], "n", marked.count()).select("id", "th", "fp", "component_id", "root")
 
 
@@ -111,11 +128,19 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row of docs, with all its columns, for each group of near-duplicates: the one with the least id.
 
     Of rows with that id the one with the least hash of its text stays, of equal rows one. A row with a null id
-    stays only if its group has no id. An empty table gives an empty result.
+    stays only if its group has no id. An empty table gives an empty result. The choice is made on ids and hashes; whole texts are
+    not sorted, and only those of rows that come again are compared.
     """
     found = _grouped(docs, id_col, text_col, max_bits)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("r")).select(F.col("r.id").alias("__tm_id"), F.col("r.th").alias("__tm_th"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("r"), F.count(F.lit(1)).alias("m"))
+    gone = stored(joined_hot(found, first, ["root"], "m", found.count()).where(~(F.col("id").eqNullSafe(F.col("r.id")) & (F.col("th") == F.col("r.th")))).select("id", "th"), "gone")
+    again = found.groupBy("id", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id", "th")
     own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = docs.withColumns({"__tm_own": own, "__tm_hash": F.xxhash64(text)})
-    kept = both.join(first, both["__tm_own"].eqNullSafe(first["__tm_id"]) & (both["__tm_hash"] == first["__tm_th"]), "left_semi")
-    return kept.dropDuplicates(["__tm_own", "__tm_hash"]).select(*docs.columns)
+    # A null id can't be joined; it is told from all others by its own column.
+    both = docs.withColumns({"__tm_no": own.isNull(), "__tm_own": F.coalesce(own, F.lit(0)), "__tm_hash": F.xxhash64(text)})
+    keys = ["__tm_no", "__tm_own", "__tm_hash"]
+    named = lambda rows: rows.select(F.col("id").isNull().alias("__tm_no"), F.coalesce("id", F.lit(0)).alias("__tm_own"), F.col("th").alias("__tm_hash"))
+    may, rest = parted(both, named(gone), keys)
+    kept = may.join(named(gone).hint("merge"), keys, "left_anti").unionByName(rest)
+    twice, rest = parted(kept, named(again), keys)
+    return twice.dropDuplicates(keys).unionByName(rest).select(*docs.columns)
