@@ -107,7 +107,7 @@ def test_crowded_buckets_lose_no_link(spark):
     values = np.array(sorted({*tight, *chain, *map(int, rng.integers(0, 1 << 40, 150))}), np.uint64)
     rows = spark.createDataFrame([(1, int(x)) for x in values.view(np.int64)] + [(2, 5)], "k long, node long")
     for most in (2, 3):
-        got = [tuple(np.array([r.a, r.b], np.int64).view(np.uint64)) for r in links.linked(rows, ["k"], simhash._test(most), block=16).collect()]
+        got = [tuple(np.array([r.a, r.b], np.int64).view(np.uint64)) for r in links.linked(rows, ["k"], simhash._pairs(most), simhash._test(most), block=16).collect()]
         at = {int(v): i for i, v in enumerate(values)}
         want = [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= most)]
         assert all(np.bitwise_count(a ^ b) <= most for a, b in got) and len(got) < 4 * len(values)

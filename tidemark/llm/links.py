@@ -23,6 +23,10 @@ from tidemark.llm.rows import joined_hot, prepare, stored
 
 #: Nodes of a block.
 BLOCK = 4096
+#: One row in SAMPLE is looked at to find crowded buckets: those with CROWD sampled rows and at least one in SHARE of all of these.
+SAMPLE, CROWD, SHARE = 32, 64, 10_000
+#: Buckets of so many rows are compared all at once.
+SMALL = 16
 #: Given the columns of a bucket: near(i, js), which of js may be linked with i, and agree(i, j), which decides.
 Test = Callable[[dict], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, int], bool] | None]]
 
@@ -107,18 +111,95 @@ def edges_of(rows: DataFrame, group: list[str], work: Callable[[dict], list[tupl
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema).distinct()
 
 
-def linked(members: DataFrame, group: list[str], test: Test, payload: DataFrame | None = None, on: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def crowded(sample: DataFrame, group: list[str]) -> DataFrame | None:
+    """The crowded buckets of a sample of one row in SAMPLE, at most SHARE of them; None if there are none."""
+    counts = stored(sample.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= CROWD), "crowded")
+    total = counts.agg(F.sum("__n")).first()[0]
+    return counts.where(F.col("__n") * SHARE >= total).select(*group) if total else None
+
+
+def hits(starts: np.ndarray, n: int, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which of n rows, sorted by bucket, are in a pair of their bucket; pairs(a, b) tells of rows a[k] and b[k]."""
+    out = np.zeros(n, bool)
+    size = np.diff(np.append(starts, n))
+    run = np.repeat(np.where(size <= SMALL, np.arange(len(starts)), -1), size)
+    for d in range(1, SMALL):
+        at = np.flatnonzero((run[d:] == run[:-d]) & (run[d:] >= 0))
+        if not len(at):
+            break
+        at = at[pairs(at, at + d)]
+        out[at] = out[at + d] = True
+    for s, m in zip(starts[size > SMALL], size[size > SMALL], strict=True):
+        rows = np.arange(s, s + m)
+        for i in rows:
+            if not out[i]:
+                others = rows[rows != i]
+                others = others[pairs(np.full(m - 1, i), others)]
+                out[others] = True
+                out[i] = len(others) > 0
+    return out
+
+
+def sieved(members: DataFrame, group: list[str], kept: list[str], pairs: Callable[[dict], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """group and kept columns, and n (rows of the bucket), of the rows that are in a pair of their bucket; of buckets over BLOCK all rows."""
+    prepare(members.sparkSession)
+    columns = [*group, *kept]
+    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in columns) + ", n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def change(table: pa.Table) -> np.ndarray:
+            out = np.zeros(max(0, table.num_rows - 1), bool)
+            for c in group:
+                v = table[c].to_numpy()
+                out |= v[1:] != v[:-1]
+            return np.flatnonzero(out) + 1
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            starts = np.append(0, change(table))
+            n = np.repeat(np.diff(np.append(starts, table.num_rows)), np.diff(np.append(starts, table.num_rows)))
+            out = n > BLOCK
+            at = np.flatnonzero((n > 1) & ~out)
+            if len(at):
+                part = table.take(pa.array(at))
+                out[at] = hits(np.append(0, change(part)), len(at), pairs({c: (part[c].to_numpy() if pa.types.is_primitive(part[c].type) else part[c].to_pylist()) for c in part.column_names}))
+            if out.any():
+                yield from table.select(columns).append_column("n", pa.array(n, pa.int64())).filter(pa.array(out)).combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(x.num_rows for x in held) < 16384:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            ends = change(table)
+            if len(ends):
+                yield from found(table.slice(0, int(ends[-1])))
+                table = table.slice(int(ends[-1]))
+            held = [table]
+        if held and sum(x.num_rows for x in held):
+            yield from found(pa.concat_tables(held).combine_chunks())
+
+    return members.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
+
+
+def linked(members: DataFrame, group: list[str], pairs: Callable[[dict], Callable], test: Test, payload: DataFrame | None = None, on: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Edges (a, b), stored, that connect the nodes of each bucket as all links between its nodes do.
 
-    members: the columns of group and `node`; payload, if given, has what test needs, for the columns of `on` once each.
+    members: the columns of group, `node` and what pairs needs, which tells rows that can't be linked; payload, if given, has
+    what test needs, once for each value of the columns `on`.
     """
     kind = members.schema["node"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
-    members = members.select(*group, "node", *[c for c in on or [] if c not in ("node", *group)])
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    held = joined_hot(members, sizes, group, "__n", members.count())
-    cut = F.ceil(F.col("__n") / block).cast("int")
-    held = stored(held.withColumn("nb", cut).withColumn("b", F.pmod(F.xxhash64("node", *group), F.col("nb")).cast("int")).drop("__n"), "members")
+    kept = ["node", *[c for c in on or [] if c not in ("node", *group)]]
+    crowd = crowded(members.where(F.pmod(F.xxhash64(F.lit("crowd"), "node"), F.lit(SAMPLE)) == 0), group)
+    if crowd is None:
+        held = sieved(members, group, kept, pairs)
+    else:
+        many = members.join(F.broadcast(crowd), group, "left_semi").select(*group, *kept)
+        sizes = many.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+        held = sieved(members.join(F.broadcast(crowd), group, "left_anti"), group, kept, pairs).unionByName(many.join(F.broadcast(sizes), group))
+    held = stored(held.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("node", *group), F.col("nb")).cast("int")).drop("n"), "members")
     columns = ["node", *(c for c in (payload.columns if payload is not None else []) if c != "node"), *(c for c in group if payload is None or c not in payload.columns)]
 
     def whole(rows: DataFrame) -> DataFrame:
@@ -141,7 +222,7 @@ def linked(members: DataFrame, group: list[str], test: Test, payload: DataFrame
         roots = connected(found)
         return stored(big.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
 
-    first = labelled(edges).groupBy(*group, "root", *[c for c in on or [] if c not in ("node", *group)]).agg(F.min("node").alias("node"))
+    first = labelled(edges).groupBy(*group, "root", *kept[1:]).agg(F.min("node").alias("node"))
     counts = first.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     first = joined_hot(first, counts, group, "__n", first.count()).withColumn("b", F.pmod(F.xxhash64("node", *group), F.ceil(F.col("__n") / block)).cast("int"))
     edges = edges.unionByName(stored(edges_of(whole(first.drop("__n", "root")), [*group, "b"], within, columns, schema), "edges"))

@@ -73,22 +73,30 @@ def _mask(triple: tuple[int, ...]) -> int:
     return int(np.array(sum(255 << (8 * i) for i in triple), np.uint64).astype(np.int64))
 
 
-def shared_bytes(values: np.ndarray, one: np.uint64) -> np.ndarray:
-    """The tally: at how many of the 8 byte positions each value has the same byte as one."""
-    return 8 - np.count_nonzero((values ^ one).view(np.uint8).reshape(-1, 8), axis=1)
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally: at how many of the 8 byte positions two fingerprints have the same byte."""
+    return 8 - np.count_nonzero((a ^ b).view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs that reach the count; their bits are verified."""
+    out = shared_bytes(a, b) >= LEAST_SHARED
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= max_bits
+    return out
+
+
+def _pairs(max_bits: int) -> Callable[[dict], Callable]:
+    def pairs(rows: dict) -> Callable:
+        values = rows["node"].view(np.uint64)
+        return lambda a, b: _near(values[a], values[b], max_bits)
+
+    return pairs
 
 
 def _test(max_bits: int) -> Callable[[dict], tuple]:
     def test(group: dict) -> tuple:
         values = group["node"].view(np.uint64)
-
-        def near(i: int, js: np.ndarray) -> np.ndarray:
-            others = values[js]
-            out = shared_bytes(others, values[i]) >= LEAST_SHARED
-            out[out] = np.bitwise_count(others[out] ^ values[i]) <= max_bits
-            return out
-
-        return near, None
+        return (lambda i, js: _near(values[js], np.full(len(js), values[i]), max_bits)), None
 
     return test
 
@@ -99,7 +107,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("the postings are complete up to 3 differing bits")
     posts = F.explode(F.array([F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("k")) for j, t in enumerate(TRIPLES)]))
     keyed = nodes.select("fp", posts.alias("post")).select("post.j", "post.k", F.col("fp").alias("node"))
-    return linked(keyed, ["j", "k"], _test(max_bits))
+    return linked(keyed, ["j", "k"], _pairs(max_bits), _test(max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
