@@ -114,6 +114,25 @@ def test_crowded_buckets_lose_no_link(spark):
         assert roots(len(values), [(at[int(a)], at[int(b)]) for a, b in got]) == roots(len(values), want)
 
 
+def test_certain_is_an_upper_bound():
+    rng = np.random.default_rng(6)
+    words = ["aa", "b", "ccc", "dd", "eeee"]
+    yes = 0
+    for _ in range(400):
+        a = [words[k] for k in rng.integers(0, 5, rng.integers(1, 12))]
+        b = list(a)
+        for _ in range(rng.integers(0, 3)):
+            k = rng.integers(0, len(b) + 1)
+            b[k : k + rng.integers(0, 2)] = [words[rng.integers(0, 5)]] * rng.integers(0, 2)
+        a, b = " ".join(a), " ".join(b)
+        d = slow_distance(a, b)
+        for most in (d - 1, d, d + 2):
+            if most >= 0:
+                assert not linededup.certain(a, b, most) or d <= most
+                yes += linededup.certain(a, b, most)
+    assert yes > 300
+
+
 def test_lines_with_changed_words_go(spark, docs):
     """Brute force over edit similarity alone: of the lines that have an alike one, nine in ten are found."""
     from tidemark.llm.queries import queries

@@ -33,6 +33,8 @@ Test = Callable[[dict], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Edges (i, j) of a spanning forest of the links among n nodes."""
+    if n == 2 and agree:
+        return [(0, 1)] if agree(0, 1) else []
     edges: list[tuple[int, int]] = []
     rest = np.arange(n)
     while len(rest):
