@@ -54,6 +54,44 @@ def test_pairs_decide_toxicity():
     assert ((score >= 0.3) == y[400:]).mean() > 0.95
 
 
+def test_exclusive_pair_is_learned():
+    """Exactly one of two terms: neither tells anything alone."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(1000):
+        words = rng.choices("river tree stone cloud house field bread paper".split(), k=5)
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((" ".join(words + ["blorg"] * a + ["zanten"] * b), int(a != b)))
+    terms, y = [toxicity.terms_of(t) for t, _ in rows], np.array([v for _, v in rows])
+    machine = toxicity.fit(terms[:700], y[:700], epochs=100)
+    assert ((toxicity.scores(machine, terms[700:]) >= 0.5) == y[700:]).mean() > 0.9
+
+
+def test_scores_are_the_naive_pair_sum():
+    rng = np.random.default_rng(9)
+    terms = np.sort(rng.choice(1 << 31, 40, replace=False).astype(np.uint32))
+    machine = toxicity.Machine(terms, rng.normal(size=40).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32), 0.3, 1.5, -0.2)
+    texts = [np.sort(rng.choice(terms, k, replace=False)) for k in (0, 1, 2, 7, 30)] + [np.array([1, 2, 3], np.uint32)]
+    want = []
+    for x in texts:
+        at = [i for i, t in enumerate(terms) if t in x]
+        z = machine.bias + sum(float(machine.w[i]) for i in at) + sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) for i in at for j in at if i < j)
+        want.append(1 / (1 + np.exp(-(machine.scale * z + machine.shift))))
+    assert np.allclose(toxicity.scores(machine, texts), want, atol=1e-9)
+
+
+def test_held_out_accuracy(spark):
+    """On documents whose labels were not learned from: most toxic ones found, nearly all others left."""
+    from tidemark.llm.queries import queries
+
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries()["op8_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in truth]
+    found = [r.predicted for r in rows if truth[r.doc_id] == 1]
+    clean = [r.predicted for r in rows if truth[r.doc_id] == 0]
+    assert len(found) > 100 and np.mean(found) >= 0.85 and np.mean(clean) <= 0.02, (np.mean(found), np.mean(clean))
+
+
 def test_toxicity_rows(spark, odd, none):
     machine = toxicity.fit([toxicity.terms_of("bad words")] * 20 + [toxicity.terms_of("good talk")] * 20, np.array([1] * 20 + [0] * 20))
     out = toxicity.score_documents(odd.withColumnRenamed("fp", "score"), machine)

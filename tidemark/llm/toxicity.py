@@ -5,8 +5,8 @@ counted as present or not. The machine adds a weight for each term and, for each
 so a pair such as an insult with a group's name has a say of its own. The pair sums cost one pass over the terms:
 half of (sum of vectors) squared less the sum of squares.
 
-The machine is fitted on a bounded sample of labelled rows; only terms that several of them have get weights, kept
-sorted by hash, and all other terms of a text count nothing.
+The machine is fitted on a bounded sample of labelled rows. Terms get weights, kept sorted by hash, if their own presence goes with
+the label, or if the presence of two of them together does beyond what each does alone; all other terms count nothing.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import map_batches
+from tidemark.llm.rows import map_batches, stored
 
-#: Bounds of the training sample: labelled rows (chosen by a hash of the id) and terms taken from one text.
+#: Bound of the training sample: labelled rows, chosen by a hash of the id, whole texts.
 SAMPLE_ROWS = 12_000
-SAMPLE_TERMS = 4000
 #: Terms with a weight are in at least so many sampled texts.
 LEAST_TEXTS = 3
 FACTORS = 4
 #: A term gets a weight only if it tells the labels apart: its log-likelihood ratio (G squared) reaches this.
 LEAST_RATIO = 12.0
+#: Two terms, each in that share of the texts, get weights if their joint ratio exceeds the sum of their own by so much.
+PAIR_SHARE, PAIR_RATIO = 0.03, 40.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 #: ASCII signs and digits separate words; A-Z are lower-cased.
@@ -90,18 +91,55 @@ def scores(machine: Machine, found: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def telling(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Terms of several texts whose presence goes with the label."""
+def ratio(seen: np.ndarray, ones: np.ndarray, n: float, all_ones: float) -> np.ndarray:
+    """G squared of a cell: `seen` texts of n, `ones` of these with label 1, against all texts."""
+    due = seen * all_ones / n
+    part = lambda x, d: 2 * np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(d, 1e-9)), 0)
+    return part(ones, due) + part(seen - ones, seen - due)
+
+
+def telling(terms: np.ndarray, texts: np.ndarray, with_one: np.ndarray, n: int, ones: float) -> np.ndarray:
+    """Which terms of several texts go with the label by their own presence."""
+    g = ratio(texts, with_one, n, ones) + ratio(n - texts, ones - with_one, n, ones)
+    return (texts >= LEAST_TEXTS) & (g >= LEAST_RATIO)
+
+
+def paired(terms: np.ndarray, found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which terms go with the label in a pair: the four cells of two terms tell more than the two terms do one by one."""
+    has = np.zeros((len(found), len(terms)), np.float32)
+    for i, x in enumerate(found):
+        has[i, np.isin(terms, x, assume_unique=True)] = 1
+    n, ones = len(y), y.sum()
+    both, both_one = has.T @ has, has[y == 1].T @ has[y == 1]
+    texts, with_one = np.diag(both).astype(np.float64), np.diag(both_one).astype(np.float64)
+    own = ratio(texts, with_one, n, ones) + ratio(n - texts, ones - with_one, n, ones)
+    out = np.zeros(len(terms), bool)
+    for a in range(len(terms)):
+        s, o = both[a].astype(np.float64), both_one[a].astype(np.float64)
+        joint = ratio(s, o, n, ones) + ratio(texts[a] - s, with_one[a] - o, n, ones) + ratio(texts - s, with_one - o, n, ones) + ratio(n - texts[a] - texts + s, ones - with_one[a] - with_one + o, n, ones)
+        near = joint - own[a] - own >= PAIR_RATIO
+        near[a] = False
+        # Two terms that nearly always come together have no say beyond each other's.
+        near &= np.minimum(np.minimum(s, texts[a] - s), texts - s) >= LEAST_TEXTS
+        out |= near
+        out[a] |= near.any()
+    return out
+
+
+def chosen_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Terms that tell alone or in a pair, of texts at hand."""
     terms, place, texts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
     with_one = np.bincount(place, np.repeat(y, [len(x) for x in found]), len(terms))
-    n, ones = len(y), y.sum()
-    table = ((with_one, texts * ones / n), (texts - with_one, texts * (n - ones) / n), (ones - with_one, (n - texts) * ones / n), (n - ones - texts + with_one, (n - texts) * (n - ones) / n))
-    ratio = sum(2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-9)), 0) for seen, due in table)
-    return terms[(texts >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)]
+    alone = telling(terms, texts, with_one, len(y), y.sum())
+    often = terms[texts >= max(LEAST_TEXTS, PAIR_SHARE * len(y))]
+    return np.union1d(terms[alone], often[paired(often, found, y)] if len(often) else often)
+
 
+def fit(found: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 16, seed: int = 5, kept: np.ndarray | None = None) -> Machine:
+    """Adaptive gradient steps on log loss; every fifth text is held back to calibrate, then weights stay as they are.
 
-def fit(found: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 16, seed: int = 5) -> Machine:
-    """Adaptive gradient steps on log loss; every fifth text is held back to calibrate, then weights stay as they are."""
+    kept: the terms with weights, chosen from the other texts if not given.
+    """
     none = Machine(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros((0, factors), np.float32), 0.0, 1.0, 0.0)
     y = np.asarray(labels, np.float64)
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -110,7 +148,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epo
         return none._replace(bias=base)
     rng = np.random.default_rng(seed)
     back = np.arange(len(y)) % 5 == 4
-    kept = telling([x for x, b in zip(found, back, strict=True) if not b], y[~back])
+    kept = chosen_terms([x for x, b in zip(found, back, strict=True) if not b], y[~back]) if kept is None else kept
     if not len(kept):
         return none._replace(bias=base)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors))
@@ -161,30 +199,56 @@ def calibrated(machine: Machine, z: np.ndarray, y: np.ndarray) -> Machine:
     return machine._replace(scale=float(a), shift=float(b))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of at most `rows` labelled texts, the ones with the least hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame | None:
+    """(id, label, back, terms), stored: all terms of at most `rows` labelled texts, the ones with the least hash of the id.
 
-    The driver gets `rows` ids and then at most SAMPLE_TERMS terms of each of their texts (the least hashes).
+    back: every fifth is held back. The driver gets the ids only. A null label or id, or a label that isn't 0 or 1, is left out; of
+    several labels of an id the largest counts, of several texts one.
     """
-    labelled = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
-    chosen = labelled.orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(rows).collect()
+    labelled = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    chosen = sorted((r["id"], r["label"]) for r in labelled.orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(rows).collect())
     if not chosen:
-        return [], np.zeros(0)
-    label = {r["id"]: int(r["label"]) for r in chosen}
-    ids = docs.sparkSession.createDataFrame([(i,) for i in label], "id long")
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id", "left_semi")
+        return None
+    ids = docs.sparkSession.createDataFrame([(i, y, k % 5 == 4) for k, (i, y) in enumerate(chosen)], "id long, label int, back boolean")
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "label", "back", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [terms_of(x)[:SAMPLE_TERMS].tobytes() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "terms"])
+        found = [terms_of(x).astype(np.int64) for x in batch.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "back", "terms"])
 
-    got = sorted((r["id"], bytes(r["terms"])) for r in map_batches(wanted, work, "id long, terms binary").toLocalIterator())
-    got = got[:rows]
-    return [np.frombuffer(t, np.uint32) for _, t in got], np.array([label[i] for i, _ in got])
+    return stored(map_batches(wanted, work, "id long, label int, back boolean, terms array<long>").dropDuplicates(["id"]), "labelled")
 
 
 def trained(docs: DataFrame, labels: DataFrame, **options) -> Machine:
-    return fit(*sample(docs, labels, **options))
+    """A machine fitted on a sample of labelled texts; terms are counted by Spark, and the driver gets only terms that may have weights."""
+    held = sample(docs, labels, **options)
+    if held is None:
+        return fit([], np.zeros(0))
+    n, ones = held.where("not back").agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or not 0 < ones < n:
+        return fit([np.zeros(0, np.uint32)] * n, np.full(n, float(bool(ones))))
+    counts = held.where("not back").select(F.explode("terms").alias("term"), "label").groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("label").alias("ones"))
+    part = lambda x, due: F.when(x > 0, 2 * x * F.ln(x / due)).otherwise(0)
+    cell = lambda seen, one: part(one, seen * ones / n) + part(seen - one, seen * (n - ones) / n)
+    often = F.col("texts") >= max(LEAST_TEXTS, PAIR_SHARE * n)
+    alone = (F.col("texts") >= LEAST_TEXTS) & (cell(F.col("texts"), F.col("ones")) + cell(n - F.col("texts"), ones - F.col("ones")) >= LEAST_RATIO)
+    table = counts.where(often | alone).select("term", often.alias("often"), alone.alias("alone")).toArrow()
+    terms, often_, alone_ = (table[c].to_numpy() for c in ("term", "often", "alone"))
+    wanted = held.sparkSession.sparkContext.broadcast(np.sort(terms).astype(np.uint32))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.intersect1d(np.array(x, np.uint32), wanted.value, assume_unique=True).tobytes() for x in batch.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["id", "label", "back", "terms"])
+
+    got = sorted((r["id"], r["label"], r["back"], bytes(r["terms"])) for r in map_batches(held, work, "id long, label int, back boolean, terms binary").toLocalIterator())
+    found, y = [np.frombuffer(t, np.uint32) for *_, t in got], np.array([v for _, v, _, _ in got], np.float64)
+    front = [k for k, g in enumerate(got) if not g[2]]
+    pairs = np.sort(terms[often_]).astype(np.uint32)
+    pairs = pairs[paired(pairs, [found[k] for k in front], y[front])] if len(pairs) else pairs
+    # fit holds every fifth text back, so texts are put where it looks for them.
+    order = iter(front), iter([k for k, g in enumerate(got) if g[2]])
+    at = [k for i in range(len(got)) if (k := next(order[i % 5 == 4], None)) is not None]
+    return fit([found[k] for k in at], y[at], kept=np.union1d(terms[alone_].astype(np.uint32), pairs))
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
