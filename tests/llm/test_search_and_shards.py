@@ -45,7 +45,7 @@ def test_pseudonyms_keep_format_and_links(spark, odd, none):
     values = ["4111111111111111", "+1 (017) 555-7713", "152.143.123.131", "2020-02-29", "31.12.1999", "01/31/2020", "123-45-6789", "in.of.55@mail4.example.com", "éclair.é7@mail1.example.com"]
     kept = ["4111111111111112", "300.1.1.1", "2021-02-29", "31.02.1999", "666-45-6789", "1234567"]
     rows = [(1, "a " + " b ".join(values) + " c"), (2, "x " + " y ".join(values + kept)), (3, None), (4, "")]
-    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key", count_col="n").collect()}
     one, two = out[1].text[2:-2].split(" b "), out[2].text[2:].split(" y ")
     assert one == two[: len(values)] and two[len(values) :] == kept and out[1].n == len(values) and out[3].text is None and out[4].text == ""
     assert not set(one) & set(values)
@@ -54,22 +54,70 @@ def test_pseudonyms_keep_format_and_links(spark, odd, none):
     assert all(0 <= int(x) <= 255 for x in one[2].split("."))
     date.fromisoformat(one[3])
     assert one[7].endswith("@mail4.example.com") and one[7][2] == "." == one[7][5]
-    assert one[8][0] == "é" and one[8][6:8] == ".é" and one[8].endswith("@mail1.example.com")
-    other = pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), key="k").collect()[0].text
+    assert 0xE0 <= ord(one[8][0]) <= 0xF6 and one[8][6] == "." and one[8].endswith("@mail1.example.com")
+    other = pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), "k").collect()[0].text
     assert other != out[1].text
-    got = {(r.doc_id, r.text) for r in pii.pseudonymise(odd, count_col="fp").collect()}
-    assert got == {(r.doc_id, r.text) for r in odd.collect()} and pii.pseudonymise(none).count() == 0
+    got = {(r.doc_id, r.text) for r in pii.pseudonymise(odd, "key", count_col="fp").collect()}
+    assert got == {(r.doc_id, r.text) for r in odd.collect()} and pii.pseudonymise(none, "key").count() == 0
+
+
+def slow_network(values, radices, shape, key, back=False):
+    """The Feistel network and its inverse in plain Python."""
+    import hashlib
+
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:12], 16)
+    if len(values) == 1:
+        step = 1 + number(f"{key}|{shape}|one") % max(radices[0] - 1, 1)
+        return [(values[0] + (-step if back else step)) % radices[0]]
+    half = len(values) // 2
+    a, b, ra, rb = list(values[:half]), list(values[half:]), radices[:half], radices[half:]
+    for r in range(pii.ROUNDS)[:: -1 if back else 1]:
+        own, other, radix = (a, b, ra) if r % 2 == 0 else (b, a, rb)
+        start = f"{key}|{shape}|{r}|{','.join(map(str, other))}"
+        own[:] = [(x + (-1 if back else 1) * number(f"{start}|{i}")) % m for i, (x, m) in enumerate(zip(own, radix, strict=True))]
+    return a + b
+
+
+def slow_text(core, kind, key, back=False):
+    of = lambda c: next(((a, n) for a, n in pii.ALPHABETS if a <= ord(c) < a + n), (48, 10))
+    places = [of(c) for c in core]
+    shape = kind + ":" + ",".join(str(a) for a, _ in places)
+    new = slow_network([ord(c) - a for c, (a, _) in zip(core, places, strict=True)], [n for _, n in places], shape, key, back)
+    return "".join(chr(v + a) for v, (a, _) in zip(new, places, strict=True))
+
+
+def test_pseudonyms_are_brute_force_and_can_be_undone(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    names = ["иван", "josé", "x", "7", "a1", "αβγ", "日本", "Ünal"] + ["".join(rng.choices("abcxyz019", k=rng.randint(1, 12))) for _ in range(60)]
+    cards = [n + str(d) for n in ("".join(rng.choices("0123456789", k=15)) for _ in range(20)) for d in range(10) if luhn(n + str(d))]
+    values = [f"{n}@example.com" for n in names] + cards + ["212-555-0187", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    rows = spark.createDataFrame([(x,) for x in values], "x string").select("x", pii.pseudonym(F.col("x"), "key").alias("y")).collect()
+    for x, y in rows:
+        if "@" in x:
+            name, new = x.split("@")[0], y.split("@")[0]
+            assert new == slow_text(name, "mail", "key") and slow_text(new, "mail", "key", back=True) == name and (len(name) > 1 or new != name)
+        elif x in cards:
+            assert y[:-1] == slow_text(x[:-1], "card", "key") and luhn(y) and slow_text(y[:-1], "card", "key", back=True) == x[:-1]
+        elif x[:2].isalpha():
+            digits = lambda v: int("".join(str(int(c, 36)) for c in v.replace(" ", "")[4:] + v[:4]))
+            assert digits(x) % 97 == 1 == digits(y) % 97 and x[:2] == y[:2] and [len(p) for p in x.split()] == [len(p) for p in y.split()] and x != y
+            assert slow_text(y.replace(" ", "")[4:], "iban", "key", back=True) == x.replace(" ", "")[4:]
+    phones = ["212-555-0187", "(212) 555-0187", "212.555.0187", "+1 212 555 0187"]
+    made = {"".join(c for c in r.y if c.isdigit())[-10:] for r in spark.createDataFrame([(x,) for x in phones], "x string").select(pii.pseudonym(F.col("x"), "key").alias("y")).collect()}
+    assert made == {slow_text("2125550187", "phone", "key")}
 
 
 def test_network_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
     frame = spark.range(898 * 2).select(F.format_string("%03d-%02d-%04d", F.col("id") % 665 + 1, F.col("id") % 99 + 1, F.col("id") + 1).alias("x")).distinct()
-    assert frame.select(pii.pseudonym(F.col("x")).alias("y")).distinct().count() == frame.count()
+    assert frame.select(pii.pseudonym(F.col("x"), "key").alias("y")).distinct().count() == frame.count()
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("x"))
-    assert days.select(pii.pseudonym(F.col("x")).alias("y")).distinct().count() == 3000
+    assert days.select(pii.pseudonym(F.col("x"), "key").alias("y")).distinct().count() == 3000
     two = spark.range(10_000).select(F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("@a.b")).alias("x"))
-    assert two.select(pii.pseudonym(F.col("x")).alias("y")).distinct().count() == 10_000
+    assert two.select(pii.pseudonym(F.col("x"), "key").alias("y")).distinct().count() == 10_000
 
 
 def test_curve_visits_neighbours():

@@ -25,6 +25,18 @@ def test_word_bpe_is_the_library(texts):
         assert bpe.decode(ids, path) == other.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = path_of("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not 0xE000 <= c <= 0xF8FF and c < 0xF0000]
+    for a in range(0, len(points), 64):
+        text = " ".join(chr(c) + "x" for c in points[a : a + 64])
+        if bpe.encode(text, path) != other.encode(text, add_special_tokens=False).ids:
+            assert not [hex(c) for c in points[a : a + 64] if bpe.encode(chr(c), path) != other.encode(chr(c), add_special_tokens=False).ids]
+
+
 def test_both_merges_agree():
     from tidemark.llm.vocab import load
 

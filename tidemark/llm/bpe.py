@@ -6,7 +6,7 @@ Long runs (a text may be one word) take the same merges from a heap, as scanning
 
 Encodes as the tokenizers library does with a lower-casing word BPE: special strings first, then NFC, white space, lower case,
 words by pattern, bytes, merges with an end-of-word mark. Decoding joins the tokens' own texts with spaces, as that
-library does for a file without a decoder.
+library does for a file without a decoder. The decoded text is made from the ids.
 """
 
 from __future__ import annotations
@@ -79,21 +79,27 @@ def merge(raw: bytes, vocab: Vocab) -> list[int]:
     return (merge_short if len(parts) <= SHORT else merge_long)(parts, vocab)
 
 
+#: Capitals of newer editions of Unicode, and their small letters.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+NEWER = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+
+
 def normalise(text: str) -> str:
     # Lower case letter by letter: at the end of a word, too, sigma stays what it is alone.
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return text if text.isascii() or not NEWER.search(text) else text.translate(CAPITALS)
 
 
 class Words(dict):
-    """A word to (its ids as little-endian bytes, its tokens' texts joined by spaces)."""
+    """A word to its ids as little-endian bytes."""
 
     def __init__(self, vocab: Vocab):
         super().__init__()
         self.vocab = vocab
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = merge(word.encode("utf-8"), self.vocab)
-        found = array("I", ids).tobytes(), " ".join([self.vocab.texts[i] for i in ids])
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", merge(word.encode("utf-8"), self.vocab)).tobytes()
         if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
             self[word] = found
         return found
@@ -104,29 +110,30 @@ def words_of(path: str) -> Words:
     return Words(load(path))
 
 
-def _runs(text: str, path: str) -> list[tuple[bytes, str]]:
+def _ids(text: str, path: str) -> bytes:
+    """The ids of a whole text as little-endian bytes."""
     words, split = words_of(path), special_pattern(path)
     pieces = split.split(text) if split else [text]
     if len(pieces) == 1:
-        return [words[w] for w in WORDS.findall(normalise(text))]
-    out: list[tuple[bytes, str]] = []
+        return b"".join(map(words.__getitem__, WORDS.findall(normalise(text))))
+    out: list[bytes] = []
     for k, piece in enumerate(pieces):
-        if k % 2:
-            out.append((array("I", [words.vocab.special[piece]]).tobytes(), piece))
-        else:
-            out += [words[w] for w in WORDS.findall(normalise(piece))]
-    return out
+        out += [array("I", [words.vocab.special[piece]]).tobytes()] if k % 2 else map(words.__getitem__, WORDS.findall(normalise(piece)))
+    return b"".join(out)
 
 
 def encode(text: str | None, path: str) -> list[int]:
     """Token ids of a whole text; a null text has none."""
-    return array("I", b"".join([a for a, _ in _runs(text or "", path)])).tolist()
+    return array("I", _ids(text or "", path)).tolist()
 
 
 def decode(ids: list[int], path: str) -> str:
     """The text of the ids, special ones included; unknown ids are left out."""
     texts = load(path).texts
-    return " ".join([texts[i] for i in ids if i in texts])
+    try:
+        return " ".join(map(texts.__getitem__, ids))
+    except KeyError:
+        return " ".join([texts[i] for i in ids if i in texts])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,9 +146,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, decoded = [], []
         for text in batch.column(1).to_pylist():
-            runs = _runs(text or "", path)
-            ids.append(np.frombuffer(b"".join([a for a, _ in runs]), "<u4").astype(np.int32))
-            decoded.append(" ".join([b for _, b in runs]))
+            ids.append(np.frombuffer(_ids(text or "", path), "<u4").astype(np.int32))
+            decoded.append(decode(ids[-1].tolist(), path))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), work, "id long, ids array<int>, decoded string")
@@ -153,11 +159,10 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b = [], [], []
         for text in batch.column(1).to_pylist():
-            runs = _runs(text or "", path)
-            raw = b"".join([x for x, _ in runs])
+            raw = _ids(text or "", path)
             n.append(len(raw) // 4)
             a.append(hashlib.sha256(raw).hexdigest())
-            b.append(hashlib.sha256(" ".join([x for _, x in runs]).encode("utf-8")).hexdigest())
+            b.append(hashlib.sha256(decode(array("I", raw), path).encode("utf-8")).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,15 +2,17 @@
 
 What is found and how it is checked: payment card numbers (13 to 19 digits, spaces or hyphens between, Luhn), social security numbers
 (000-00-0000 within the numbers that are given out), telephone numbers (an international code, or ten digits with signs between), IPv4
-addresses (octets to 255), dates (2020-01-31, 31.01.2020 and
+addresses (octets to 255), IBANs (check digits), dates (2020-01-31, 31.01.2020 and
 01/31/2020 that the calendar has; days and months come out with two digits) and, as numbers
 beside letters, the local parts of mail addresses. What fails its check stays as it is.
 
-A value is a row of places, each with a radix (a digit 10, a letter 26, an octet 256; a day of the calendar's 400-year cycle
+A value is a row of places, each with a radix (a digit 10, a letter the size of its ALPHABETS, an octet 256; a day of the calendar's 400-year cycle
 of 146,097 days as 189 x 773). The row is halved; in each of ROUNDS rounds one half is added, place by
 place and modulo the radix, to a stream from SHA-256 of key, format, round and the other half. Each round can be undone with
 the key, so the network permutes the values of a format: equal values stay equal in all documents, different ones stay different, and
-lengths, signs, letter cases and validity stay. A card's last digit is made anew from the others.
+lengths, signs, letter cases and validity stay. A card's last digit and an IBAN's check digits are made anew from the rest. Signs between the
+digits of a number don't count, so a telephone number is linked however it is written. A single place is moved by a keyed
+step, never by none. Letters of scripts outside ALPHABETS stay.
 
 Only DataFrame functions are used; matches are rare, so texts without any pass at the cost of one regular expression.
 """
@@ -24,8 +26,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.rows import prepare
 
-KEY = "tidemark-pseudonyms"
 ROUNDS = 8
+#: Runs of letters (first code point, how many) within which letters are exchanged: Latin, Latin-1, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, Hiragana, Katakana, Chinese characters, Hangul.
+ALPHABETS = (
+    (0x61, 26), (0x41, 26), (0xE0, 23), (0xF8, 8), (0xC0, 23), (0xD8, 7), (0x3B1, 25), (0x391, 17), (0x430, 32), (0x410, 32), (0x5D0, 27), (0x621, 26), (0x641, 10),
+    (0x905, 53), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172),
+)
 MARK, ESCAPE = "\u0001\u0002", "\u0001\u0003"
 DAYS, DATE_RADICES = 146_097, (189, 773)
 
@@ -40,6 +47,7 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
     r"|(?<![0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -64,11 +72,17 @@ def permuted(values: Column, radices: Column, shape: Column, key: str) -> Column
         stream = lambda t, i: F.conv(F.substring(F.sha2(F.concat_ws("|", t, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
         return let(start, lambda t: F.zip_with(F.transform(own, lambda x, i: x + stream(t, i)), radix, lambda x, r: F.pmod(x, r)))
 
+    def stepped(h: Column) -> Column:
+        """A single place: a step of 1 to radix - 1."""
+        step = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), h["shape"], F.lit("one")), 256), 1, 12), 16, 10).cast("long")
+        return F.zip_with(h["b"], h["rb"], lambda x, r: F.pmod(x + 1 + F.pmod(step, F.greatest(r - 1, F.lit(1))), r))
+
     def network(h: Column) -> Column:
         def step(acc: Column, r: Column) -> Column:
             return F.when(r % 2 == 0, F.struct(shifted(acc["a"], acc["b"], h["ra"], h["shape"], r).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), shifted(acc["b"], acc["a"], h["rb"], h["shape"], r).alias("b")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(h["a"].alias("a"), h["b"].alias("b")), step, lambda acc: F.concat(acc["a"], acc["b"]))
+        whole = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(h["a"].alias("a"), h["b"].alias("b")), step, lambda acc: F.concat(acc["a"], acc["b"]))
+        return F.when(F.size(h["b"]) + F.size(h["a"]) == 1, stepped(h)).otherwise(whole)
 
     return let(F.struct(values.alias("v"), radices.alias("r"), shape.alias("shape")), halved)
 
@@ -77,25 +91,41 @@ def _letters(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
 
 
+#: Digits and the letters of ALPHABETS, as a class of a regular expression.
+PLACES = "0-9" + "".join(f"{chr(a)}-{chr(a + n - 1)}" for a, n in ALPHABETS)
+
+
 def _core(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9A-Za-z]", "")
+    return F.regexp_replace(text, f"[^{PLACES}]", "")
+
+
+def _first(c: Column) -> Column:
+    """Code point of the first sign of a place's alphabet."""
+    out = F.when(c.between("0", "9"), 48)
+    for a, n in ALPHABETS:
+        out = out.when(c.between(chr(a), chr(a + n - 1)), a)
+    return out.otherwise(48)
 
 
-def _shape(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+def _radix(c: Column) -> Column:
+    out = F.when(c.between("0", "9"), 10)
+    for a, n in ALPHABETS:
+        out = out.when(c.between(chr(a), chr(a + n - 1)), n)
+    return out.otherwise(10)
 
 
-def _base(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65)
+def _sign(point: Column) -> Column:
+    return F.when(point < 128, F.char(point)).otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE"))
 
 
-def _permuted_text(core: Column, shape: Column, key: str) -> Column:
-    """Digits and letters of a text that has nothing else."""
+def _permuted_text(core: Column, kind: str, key: str) -> Column:
+    """Digits and letters of a text that has nothing else; the format is the kind and the row of alphabets."""
 
     def of(chars: Column) -> Column:
-        values = F.transform(chars, lambda c: (F.ascii(c) - _base(c)).cast("long"))
-        radices = F.transform(chars, lambda c: F.when(c.between("0", "9"), 10).otherwise(26).cast("long"))
-        return F.array_join(F.zip_with(permuted(values, radices, shape, key), chars, lambda v, c: F.char(v + _base(c))), "")
+        values = F.transform(chars, lambda c: (F.ascii(c) - _first(c)).cast("long"))
+        radices = F.transform(chars, lambda c: _radix(c).cast("long"))
+        shape = F.concat(F.lit(kind + ":"), F.array_join(F.transform(chars, lambda c: _first(c).cast("string")), ","))
+        return F.array_join(F.zip_with(permuted(values, radices, shape, key), chars, lambda v, c: _sign(v + _first(c))), "")
 
     return let(_letters(core), of)
 
@@ -106,13 +136,13 @@ def _refilled(text: Column, core: Column) -> Column:
     def of(h: Column) -> Column:
         place = lambda i: F.length(_core(F.substring(h["text"], F.lit(1), i)))
         own = lambda i: F.substring(h["text"], i, F.lit(1))
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(h["text"])), lambda i: F.when(own(i).rlike("[0-9A-Za-z]"), F.substring(h["core"], place(i), F.lit(1))).otherwise(own(i))), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(h["text"])), lambda i: F.when(own(i).rlike(f"[{PLACES}]"), F.substring(h["core"], place(i), F.lit(1))).otherwise(own(i))), "")
 
     return let(F.struct(text.alias("text"), core.alias("core")), of)
 
 
 def _signs(text: Column, key: str, kind: str) -> Column:
-    return F.when(_core(text) == "", text).otherwise(_refilled(text, _permuted_text(_core(text), F.concat(F.lit(kind + ":"), _shape(text)), key)))
+    return F.when(_core(text) == "", text).otherwise(_refilled(text, _permuted_text(_core(text), kind, key)))
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -127,10 +157,24 @@ def luhn_valid(digits: Column) -> Column:
 
 def _card(x: Column, key: str) -> Column:
     payload = F.regexp_replace(_core(x), ".$", "")
-    new = _permuted_text(payload, F.concat(F.lit("card:"), _shape(payload)), key)
+    new = _permuted_text(payload, "card", key)
     return _refilled(x, let(new, lambda n: F.concat(n, ((10 - _luhn_sum(n, 0) % 10) % 10).cast("string"))))
 
 
+def _mod97(core: Column) -> Column:
+    """The remainder of an IBAN's digits, letters as 10 to 35, the first four signs moved to the end."""
+    moved = F.concat(F.substring(core, F.lit(5), F.length(core)), F.substring(core, 1, 4))
+    step = lambda acc, c: F.when(c.between("0", "9"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(_letters(moved), F.lit(0), lambda acc, c: step(acc, c).cast("int"))
+
+
+def _iban(x: Column, key: str) -> Column:
+    core = _core(x)
+    body = _permuted_text(F.substring(core, F.lit(5), F.length(core)), "iban", key)
+    checked = lambda b: F.concat(F.substring(core, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(core, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b)
+    return _refilled(x, let(body, checked))
+
+
 def _ip(x: Column, key: str) -> Column:
     octets = F.transform(F.split(x, r"\."), lambda c: c.cast("long"))
     return F.array_join(F.transform(permuted(octets, F.array([F.lit(256).cast("long")] * 4), F.lit("ip"), key), lambda v: v.cast("string")), ".")
@@ -170,7 +214,7 @@ def _dated(x: Column, kind: str, key: str) -> Column:
     return let(_new_date(_day(x, kind), key), written)
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of one found value; what fails the check of its format stays."""
     whole = lambda kind: x.rlike(f"^(?:{PATTERNS[kind]})$")
     mail = F.concat(_signs(F.substring_index(x, "@", 1), key, "mail"), F.lit("@"), F.substring_index(x, "@", -1))
@@ -184,11 +228,12 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     for kind in ("ymd", "dmy", "mdy"):
         out = out.when(whole(kind), F.when(_day(x, kind).isNotNull(), _dated(x, kind, key)).otherwise(x))
     out = out.when(whole("ssn"), F.when(ssn_valid, _ssn(x, key)).otherwise(x)).when(whole("phone"), F.when(phone_valid, phone).otherwise(x))
+    out = out.when(whole("iban") & (_mod97(_core(x)) == 1), _iban(x, key))
     return out.when(whole("card"), F.when(luhn_valid(_core(x)), _card(x, key)).otherwise(x)).otherwise(x)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every value of a known format in the text replaced by its pseudonym; count_col, if given, counts changes.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with every value of a known format in the text replaced by its pseudonym under the key; count_col, if given, counts changes.
 
     Null and empty texts stay as they are with count 0. Repeated rows stay repeated and get the same pseudonyms. Other columns
     are kept; a column with the name count_col is replaced. An empty table gives an empty result.

@@ -43,8 +43,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text with pseudonyms, n_pseudonyms of every document."""
-    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count_col="n_pseudonyms")
+    """doc_id, text with pseudonyms, n_pseudonyms of every document. The key is a setting of the session; the one here is for test tables."""
+    key = spark.conf.get("spark.tidemark.pseudonyms.key", "key of the test tables")
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key, count_col="n_pseudonyms")
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,12 @@ from tidemark.llm.vocab import CACHE_CHARS, CACHE_WORDS, load, special_pattern
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pairs of tokens of which a worker keeps whether they are compatible.
 CACHE_PAIRS = 1_000_000
-#: In longer pieces (bytes) the counts are found from the start on.
-SHORT = 64
 SPACE = regex.compile(r"\s+")
 LIMIT = 1024
 
 
 class Counter(dict):
-    """A piece to its number of tokens."""
+    """A piece to its token counts at every prefix of its bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -68,31 +66,16 @@ class Counter(dict):
                     break
         return count
 
-    def total(self, raw: bytes) -> int:
-        """The last of prefixes(raw), with the same recurrence taken from the end, so only at prefixes that it needs."""
-        ids, pairs, compatible = self.vocab.ids.get, self.pairs.get, self.compatible
-        held = {0: (-1, 0)}
-
-        def at(end: int) -> tuple[int, int]:
-            for start in range(end):
-                token = ids(raw[start:end])
-                if token is not None:
-                    last, count = held.get(start) or at(start)
-                    fits = pairs((last, token))
-                    if fits or fits is None and compatible(last, token):
-                        held[end] = found = token, count + 1
-                        return found
-            raise ValueError("no token ends here")  # every single byte is a token
-
-        return at(len(raw))[1]
-
-    def __missing__(self, piece: str) -> int:
-        raw = piece.encode("utf-8")
-        found = self.total(raw) if len(raw) <= SHORT else self.prefixes(raw)[-1]
+    def __missing__(self, piece: str) -> list[int]:
+        found = self.prefixes(piece.encode("utf-8"))
         if len(self) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
             self[piece] = found
         return found
 
+    def total(self, piece: str) -> int:
+        """Tokens of a piece: the count at its longest prefix."""
+        return self[piece][-1]
+
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches between special strings, and those strings."""
         split = special_pattern(self.path)
@@ -100,9 +83,8 @@ class Counter(dict):
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
-        text, look = text or "", self.__getitem__
-        parts = self.parts(text)
-        return sum([1 if special else sum(map(look, PIECES.findall(part))) for part, special in parts])
+        look = self.__getitem__
+        return sum([1 if special else sum([at[-1] for at in map(look, PIECES.findall(part))]) for part, special in self.parts(text or "")])
 
     def counts(self, text: str | None) -> list[int]:
         """Tokens of text[:0], text[:1], ... text[:n], each exactly as if that prefix were encoded alone."""
@@ -110,22 +92,22 @@ class Counter(dict):
         for part, special in self.parts(text or ""):
             if special:
                 # Until a special string is complete, its beginning is ordinary text and joins the text before it.
-                out += [before + sum(map(self.__getitem__, PIECES.findall(tail + part[:k]))) for k in range(1, len(part))] + [done + 1]
+                out += [before + sum(map(self.total, PIECES.findall(tail + part[:k]))) for k in range(1, len(part))] + [done + 1]
                 done, tail, before = done + 1, "", done + 1
                 continue
             base, blank, held = done, 0, 0  # held: where a run of white space began, and the count before it
             for m in PIECES.finditer(part):
                 piece = m[0]
-                inner = self.prefixes(piece.encode("utf-8"))
+                inner = self[piece]
                 at, blanks, after = 0, bool(SPACE.fullmatch(piece)), bool(m.start() and SPACE.fullmatch(part[m.start() - 1]))
                 for k, letter in enumerate(piece, 1):
                     at += len(letter.encode("utf-8"))
                     if after and (k == 1 or blanks) and SPACE.fullmatch(piece[:k]):
                         # At the end of a text, all its white space is one piece, which the next letter may split.
                         tail = part[blank : m.start() + k]
-                        out.append(held + sum(map(self.__getitem__, PIECES.findall(tail))))
+                        out.append(held + sum(map(self.total, PIECES.findall(tail))))
                     elif k == 2 and len(piece) == 3 and piece[0] == "'" and piece[1].isalpha():
-                        out.append(base + self["'"] + self[piece[1]])  # half a contraction: a sign and a letter
+                        out.append(base + self.total("'") + self.total(piece[1]))  # half a contraction: a sign and a letter
                     else:
                         out.append(base + inner[at])
                 if blanks and not after:
