@@ -128,6 +128,41 @@ def test_curve_visits_neighbours():
         assert all(sum(abs(a - b) for a, b in zip(cell[h], cell[h + 1], strict=True)) == 1 for h in range(len(index) - 1))
 
 
+def test_places_are_brute_force_and_prune(spark):
+    """Index, shard and slot of every row by a plain recomputation; a filter on one value leaves files unread."""
+    import zlib
+    from bisect import bisect_left
+
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, bounds = docs.collect(), sharding.bounds_of(sharding.dimensions(docs, ["lang", "source"]).select("__tm_0", "__tm_1", "__tm_2"))
+    place = lambda v: -1 if v is None else int.from_bytes(v.encode()[:7].ljust(7, b"\0"), "big")
+    own, group = {}, {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        size = len(raw) + 1
+        cell = [bisect_left(b, v) * 31 // max(1, len(b)) for b, v in zip(bounds, (size, place(r.lang), place(r.source)), strict=True)]
+        own[r.doc_id] = sharding.hilbert(cell, sharding.BITS)
+        th = xxhash.xxh64_intdigest(raw, seed=42)
+        key = (th - (1 << 64) if th >> 63 else th, zlib.crc32(raw), size)
+        group.setdefault(key, []).append(r.doc_id)
+    order = sorted((min(own[i] for i in ids), *key, i) for key, ids in group.items() for i in ids)
+    n = len(order)
+    want = {i: (h, k * 16 // n, k - -(-(k * 16 // n * n) // 16)) for k, (h, *_, i) in enumerate(order)}
+    got = {r.id: (r.hilbert, r.shard, r.slot) for r in sharding.placed(docs).collect()}
+    assert got == want
+    held = defaultdict(list)
+    for r in rows:
+        held[got[r.doc_id][1]].append(r)
+    for read, most in ((lambda r: r.lang, 9), (lambda r: r.source, 9), (lambda r: len(r.text or ""), 12)):
+        values = sorted({read(r) for r in rows if read(r) is not None})
+        few = values if len(values) < 50 else values[:: len(values) // 20]
+        reads = [sum(min(vs) <= v <= max(vs) for vs in ([read(r) for r in x if read(r) is not None] for x in held.values()) if vs) for v in few]
+        print("files read of 16:", round(sum(reads) / len(reads), 1))
+        assert sum(reads) / len(reads) <= most
+
+
 def test_shards(spark, docs, odd, none, tmp_path):
     rows = sharding.placed(docs).collect()
     slots, groups = defaultdict(list), defaultdict(set)

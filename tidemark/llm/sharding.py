@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over several metadata dimensions, for pruning files by any of them.
 
-Each dimension is quantised to BITS bits: categories by a hash, sizes by their logarithm. A cell's index on the Hilbert curve orders the
+Each dimension is quantised to BITS bits, in its own order, by quantiles of the rows. A cell's index on the Hilbert curve orders the
 rows, and the order is cut into runs of equal row counts. Near cells have near indexes, so a shard covers few values of each
 dimension, and minima and maxima of its files rule out most shards for a filter on any of them.
 
@@ -51,20 +51,37 @@ def curve(dims: int, bits: int = BITS) -> list[int]:
     return [hilbert([(c >> (bits * k)) & (size - 1) for k in range(dims)], bits) for c in range(size**dims)]
 
 
-def category(column: str, bits: int = BITS) -> Column:
-    """A text column quantised by a hash; null has a value of its own."""
-    return F.pmod(F.xxhash64(F.lit(column), F.coalesce(F.col(column).cast("string"), F.lit("\u0000"))), F.lit(1 << bits)).cast("int")
+def place_of(column: str) -> Column:
+    """A text's place in the order of texts, by its first seven bytes; null comes first."""
+    first = F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)
+    return F.coalesce(F.conv(F.rpad(F.hex(first), 14, "0"), 16, 10).cast("long"), F.lit(-1))
 
 
-def magnitude(size: Column, bits: int = BITS) -> Column:
-    """A size quantised by twice its logarithm of base 2."""
-    return F.least(F.floor(2 * F.log2(F.greatest(size, F.lit(1)).cast("double"))), F.lit((1 << bits) - 1)).cast("int")
+def quantised(value: Column, bounds: Sequence[int], bits: int = BITS) -> Column:
+    """How many of the bounds lie below the value, spread over all numbers of the bits."""
+    most = (1 << bits) - 1
+    rank = sum(((value > b).cast("int") for b in bounds), F.lit(0))
+    return F.floor(rank * most / max(1, len(bounds))).cast("int")
+
+
+def bounds_of(values: DataFrame, bits: int = BITS) -> list[list[int]]:
+    """For each column of numbers, values that cut its rows into runs of about equal counts, fewer than 2 ** bits of them."""
+    shares = [k / (1 << bits) for k in range(1 << bits)] + [1.0]
+    found = values.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in values.columns]).first()
+    # A bound is a value that rows have; each lies above the one before, the last value needs none.
+    return [sorted(set(r or []))[:-1] for r in found]
+
+
+def dimensions(docs: DataFrame, categories: Sequence[str], text_col: str = "text") -> DataFrame:
+    """docs with __tm_0 (bytes of the text plus 1), __tm_1 ... (places of the categories)."""
+    size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long") + 1
+    return docs.withColumns({"__tm_0": size} | {f"__tm_{k}": place_of(c) for k, c in enumerate(categories, 1)})
 
 
 def placed(docs: DataFrame, categories: Sequence[str] = ("lang", "source"), shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, crc, hilbert, shard, slot) for each row.
 
-    size is the text's bytes plus 1. Row counts of shards differ by at most one; slots run from 0 without gaps in curve order. A null text
+    Rows of equal index are ordered by the text's hash, its crc and size, and the id, nulls first; rows equal in all of these are alike.     size is the text's bytes plus 1. Row counts of shards differ by at most one; slots run from 0 without gaps in curve order. A null text
     counts as no bytes (crc 0) and is equal to the empty text's group; null categories and ids have places of
     their own; repeated rows get slots of their own. Categories that docs lacks are left out. Other columns are not read; an
     empty table gives an empty result. The driver gets a number per sorted partition; texts are not shuffled.
@@ -72,11 +89,12 @@ def placed(docs: DataFrame, categories: Sequence[str] = ("lang", "source"), shar
     spark = docs.sparkSession
     prepare(spark)
     categories = [c for c in categories if c in docs.columns]
+    docs = dimensions(docs, categories, text_col)
+    names = [f"__tm_{k}" for k in range(1 + len(categories))]
+    bounds = bounds_of(docs.select(*names))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    cell = magnitude(size)
-    for k, c in enumerate(categories, 1):
-        cell = cell + F.shiftleft(category(c), BITS * k)
+    size = F.col(names[0])
+    cell = sum((F.shiftleft(quantised(F.col(c), b), BITS * k) for k, (c, b) in enumerate(zip(names, bounds, strict=True))), F.lit(0))
     table = spark.createDataFrame(list(enumerate(curve(1 + len(categories)))), "cell int, own long")  # 2 ** (BITS * dimensions) rows, whatever the input
     rows = docs.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("th"), cell.cast("int").alias("cell")).join(F.broadcast(table), "cell").drop("cell").checkpoint()
     groups = rows.groupBy("th", "crc", "size").agg(F.min("own").alias("hilbert"), F.count(F.lit(1)).alias("n"), F.max("own").alias("last")).where("n > 1 and hilbert < last")
