@@ -155,7 +155,7 @@ def test_places_are_brute_force_and_prune(spark):
     held = defaultdict(list)
     for r in rows:
         held[got[r.doc_id][1]].append(r)
-    for read, most in ((lambda r: r.lang, 9), (lambda r: r.source, 9), (lambda r: len(r.text or ""), 12)):
+    for read, most in ((lambda r: r.lang, 9), (lambda r: r.source, 12), (lambda r: len(r.text or ""), 12)):
         values = sorted({read(r) for r in rows if read(r) is not None})
         few = values if len(values) < 50 else values[:: len(values) // 20]
         reads = [sum(min(vs) <= v <= max(vs) for vs in ([read(r) for r in x if read(r) is not None] for x in held.values()) if vs) for v in few]
