@@ -62,12 +62,30 @@ def test_nearest_is_the_full_scan(spark):
     c = [(i, rng.random() * 3, rng.random()) for i in range(60)]
     frame = lambda rows: spark.createDataFrame(rows, "pos int, a double, b double")
     found = {(r.t, r.c) for r in joins.nearest(frame(t), frame(c), ["a", "b"]).collect()}
+    pool = np.array([x[1:] for x in t + c])
+    mean, sd = pool.mean(axis=0), pool.std(axis=0, ddof=1)
     want = set()
-    for i, a, b in t:
-        near = [(((a - x) ** 2 + (b - y) ** 2) ** 0.5, j) for j, x, y in c if abs(a - x) <= 0.25]
-        if near:
+    for i, *x in t:
+        near = [(float(np.sqrt((((np.array(x) - mean) / sd - (np.array(y) - mean) / sd) ** 2).sum())), j) for j, *y in c]
+        if min(near)[0] <= 0.25:
             want.add((i, min(near)[1]))
-    assert found == want
+    assert found == want and 0 < len(want) < len(t)
+
+
+def test_barriers_are_the_plain_rule(spark):
+    rng = random.Random(3)
+    bars = [("a", i, 10 + rng.random() * 5) for i in range(30)]
+    notes = [("a", rng.randrange(0, 25), 9 + rng.random() * 7) for _ in range(6)]
+    got = {r.date: (r.near, r.pinned) for r in joins.barriers_known(spark.createDataFrame(bars, "ticker string, date int, close double"), spark.createDataFrame(notes, "ticker string, filed int, barrier double"), 4, 0.05).collect()}
+    want = {}
+    for i in range(1, 30):
+        known = [b for _, f, b in notes if f < i]
+        if known:
+            before = bars[i - 1][2]
+            best = min(known, key=lambda b: abs(before - b) / before)
+            ahead = bars[i + 4][2] if i + 4 < 30 else None
+            want[i] = (abs(before - best) / before <= 0.05, None if ahead is None else abs(ahead - best) / ahead <= 0.05)
+    assert got == want
 
 
 PAGE = """<html><head><title>no</title><script>x("</p>")</script></head><body><p>One &amp; two<br>three</p><!-- no --><table><tr><td>Issuer</td><td>Acme</td></tr><tr><td rowspan=2>Rate</td><td>5%</td></tr><tr><td>6%</td></tr></table><p>End</p></body></html>"""
@@ -90,7 +108,15 @@ def test_page_text_pairs_and_places(spark):
 def test_labels_switch_style(spark):
     row = spark.createDataFrame([("A:: 1\nB: 2\nC: 3\nD: 4",), ("A:: 1\nB:: 2\nC: 3",)], "t string")
     got = [[tuple(x) for x in r[0]] for r in row.select(text.labelled(F.col("t"))).collect()]
-    assert got == [[("A", "1"), ("B", "2"), ("C", "3"), ("D", "4")], [("A", "1"), ("B", "2")]]
+    assert got == [[("A", "1"), ("B", "2"), ("C", "3"), ("D", "4")], [("A", "1"), ("B", "2\nC: 3")]]
+    long = spark.createDataFrame([("Lead:: a\n\nb c\nNext:: " + "x" * 900,)], "t string")
+    assert [tuple(x) for x in long.select(text.labelled(F.col("t"))).first()[0]] == [("Lead", "a\n\nb c"), ("Next", "x" * 699)]
+
+
+def test_skipped_elements_stay_skipped_over_tables():
+    page = "<p>a</p><script>var a='<table><tr><td>k</td><td>v</td></tr></table>'; secret()</script><p>b</p><table><tr><td>c</td><td>d</td></tr></table>"
+    body, _, pairs = html.read(page)
+    assert body == "a\n\nb\n\nc: d" and pairs == [("c", "d")]
 
 
 def test_bayes_finds_known_functions():

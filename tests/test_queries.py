@@ -10,6 +10,9 @@ from tidemark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
+#: Queries that SQL can't express; test_operators holds what they apply against plain Python. Pages of the smallest tables have no pairs.
+NO_SQL = set(QUERIES) - set(ORACLES)
+MAY_BE_EMPTY = {"doc2_pairs"}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +37,7 @@ def test_query(spark, duck, name):
     columns = sorted(found.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=str)
     if name not in ORACLES:
+        assert name in NO_SQL and rows or name in MAY_BE_EMPTY
         return
     other = duck.sql(ORACLES[name])
     assert sorted(other.columns) == columns

@@ -112,3 +112,47 @@ def smart_money(congress: Column, insider: Column, news: Column, options: Column
     """Weighted legs; a missing one counts 0."""
     leg = lambda c: F.coalesce(c, F.lit(0.0))
     return LEGS["congress"] * leg(congress) + LEGS["insider"] * leg(insider) + LEGS["news"] * leg(news) + LEGS["options"] * leg(options)
+
+
+def weekly_vol(returns: Column) -> Column:
+    """Yearly volatility of an aggregate of weekly log returns; 0 for fewer than two."""
+    return F.when(F.count(returns) < 2, 0.0).otherwise(F.stddev_samp(returns) * 52**0.5)
+
+
+#: Fixed values of the volatility surface: slope, least and greatest of the skew and of the term factor, the term's middle in years.
+SKEW, TERM, MIDDLE = (-1.6, 0.60, 1.70), (0.35, 0.80, 1.35), 8 / 52
+#: Share by which a volatility is dear at the highest rank.
+MARKUP = 0.15
+
+
+def surface_vol(sigma: Column, forward: Column, strike: Column, years: Column) -> Column:
+    """A volatility on the surface: dearer for low strikes and, a little, for long terms."""
+    tiny = F.lit(1e-6)
+    moneyness = F.ln(F.greatest(strike, tiny) / F.greatest(forward, tiny))
+    return sigma * clamp(1 + SKEW[0] * moneyness, *SKEW[1:]) * clamp(1 + TERM[0] * (years - MIDDLE), *TERM[1:])
+
+
+def vol_markup(rank: Column) -> Column:
+    """The factor by which options are dear (rank over 50) or cheap; ranks are held to 0 to 100."""
+    return 1 + MARKUP * (clamp(rank, 0.0, 100.0) - 50) / 50
+
+
+def black_76_greeks(forward: Column, strike: Column, sigma: Column, years: Column, is_call: Column, surface: bool = False) -> Column:
+    """delta, vega (a point of volatility) and theta (a day) at a rate of 0; without time or price delta is 1, 0 or -1 and the rest 0."""
+    vol = F.greatest(sigma, F.lit(0.05))
+    vol = surface_vol(vol, forward, strike, years) if surface else vol
+    done = (years <= 1e-9) | (forward <= 0)
+    d1 = F.when(~done, (F.ln(forward / strike) + 0.5 * vol * vol * years) / (vol * F.sqrt(years)))
+    ended = F.when(is_call, F.when(forward > strike, 1.0).otherwise(0.0)).otherwise(F.when(forward < strike, -1.0).otherwise(0.0))
+    delta = F.when(done, ended).otherwise(norm_cdf(d1) - F.when(is_call, 0.0).otherwise(1.0))
+    vega = F.when(done, 0.0).otherwise(forward * norm_pdf(d1) * F.sqrt(years) / 100)
+    theta = F.when(done, 0.0).otherwise(-forward * norm_pdf(d1) * vol / (2 * F.sqrt(years)) / 365)
+    return F.struct(delta.alias("delta"), vega.alias("vega"), theta.alias("theta"))
+
+
+def suggested_shares(equity: Column, risk: float, price: Column, atr: Column, momentum: Column, vol: Column, drawdown: Column, stop: float = 2.0) -> Column:
+    """The least of three caps: equal risk at a stop of so many true ranges, half of Kelly's share, the worst fall seen; null if one is missing."""
+    by_stop = equity * risk / (atr * stop)
+    kelly = F.greatest(momentum / (vol * vol), F.lit(0.0)) / 2 * equity / price
+    by_fall = equity * risk / (F.abs(drawdown) * price)
+    return F.floor(position_shares(by_stop, kelly, by_fall))

@@ -15,6 +15,10 @@ from pyspark.sql import window as W
 KEY = ("cik", "concept", "period_start", "period_end")
 
 
+#: Runs that values are cut in for a ranking.
+RUNS = 64
+
+
 def last_of(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The row of each key that is greatest by the order columns (nulls least); one aggregation, no sort of all rows."""
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("__r"))
@@ -163,7 +167,16 @@ def ranked(resolved: DataFrame, field: str, start: str, end: str) -> DataFrame:
     """Filers by a field's value in the last period that ends in [start, end), the greatest first, nulls last."""
     rows = resolved.where((F.col("field") == field) & (F.col("period_end") >= start) & (F.col("period_end") < end))
     last = last_of(rows.select("cik", "period_end", "value", "accession"), ["cik"], "period_end", "accession")
-    return last.withColumn("rank", F.rank().over(W.Window.orderBy(F.desc_nulls_last("value"))))
+    # Values are cut at quantiles, so no task ranks all filers; a run's first rank follows from the counts of the runs above.
+    bounds = last.agg(F.percentile_approx("value", [k / RUNS for k in range(1, RUNS)], 10_000).alias("q")).first()["q"] or []
+    run = sum(((F.col("value") < b).cast("int") for b in sorted({float(b) for b in bounds})), F.lit(0))
+    cut = last.withColumn("__run", F.when(F.col("value").isNull(), RUNS).otherwise(run))
+    before, counts = {}, {r["__run"]: r["count"] for r in cut.groupBy("__run").count().collect()}
+    for k in sorted(counts):
+        before[k] = sum(n for r, n in counts.items() if r < k)
+    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    own = F.rank().over(W.Window.partitionBy("__run").orderBy(F.desc_nulls_last("value")))
+    return cut.withColumn("rank", (own + F.element_at(first, F.col("__run"))).cast("int")).drop("__run")
 
 
 def agreements(checks: DataFrame, needed: int = 3, days: int = 7) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 #: Fixed sets of HTML elements: whose text is no text, which end a paragraph, which stand for a blank.
 SKIPPED = frozenset("script style head title".split())
-BLOCKS = frozenset("p div section article header footer nav aside main ul ol li dl dt dd h1 h2 h3 h4 h5 h6 tr table blockquote pre form fieldset hr address figure".split())
+BLOCKS = frozenset("p div tr table li ul ol h1 h2 h3 h4 h5 h6".split())
 BLANKS = frozenset("td th br".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^<&]+|[<&]", re.S)
+RUNS = re.compile(r"[ \t\xa0\r\f\v\n]|[^ \t\xa0\r\f\v\n]+")
 SPAN = re.compile(r"\b(colspan|rowspan)\s*=\s*[\"']?(\d+)", re.I)
 SPANS = "array<struct<text_start:int,text_end:int,source_start:int,source_end:int,literal:boolean>>"
 SCHEMA = f"text string, spans {SPANS}, pairs array<struct<label:string,value:string>>"
@@ -46,21 +47,24 @@ def tables(source: str) -> list[tuple[int, int]]:
     return [*out, (start, len(source))] if depth else out
 
 
-def pieces(source: str, start: int, end: int) -> Iterator[Piece]:
-    """Text of a stretch; breaks are pieces of one sign: a blank or two line ends."""
-    skip = 0
+def pieces(source: str, start: int, end: int, depth: list[int] | None = None) -> Iterator[Piece]:
+    """Text of a stretch; breaks are pieces of one sign: a blank or two line ends.
+
+    depth, a list of one number, tells how many elements without text are open before the stretch, and then after it.
+    """
+    depth = [0] if depth is None else depth
     for m in TOKEN.finditer(source, start, end):
         whole = m[0]
         name = (m[2] or "").lower()
         if name:
             closes, single = bool(m[1]), whole.endswith("/>")
             if name in SKIPPED:
-                skip = max(0, skip + (-1 if closes else 0 if single else 1))
+                depth[0] = max(0, depth[0] + (-1 if closes else 0 if single else 1))
             elif name in BLANKS:
                 yield Piece(" ", m.start(), m.end(), False)
-            elif name in BLOCKS and (closes or single or name == "hr"):
+            elif name in BLOCKS and (closes or single):
                 yield Piece("\n\n", m.start(), m.end(), False)
-        elif whole[0] == "<" and len(whole) > 1 or skip:
+        elif whole[0] == "<" and len(whole) > 1 or depth[0]:
             continue
         elif whole[0] == "&" and len(whole) > 1:
             yield Piece(entities.unescape(whole), m.start(), m.end(), False)
@@ -70,11 +74,11 @@ def pieces(source: str, start: int, end: int) -> Iterator[Piece]:
 
 def laid(found: Iterator[Piece]) -> tuple[str, list[Piece]]:
     """The text with runs of blanks as one and runs of line ends as at most two, and its pieces in order."""
-    letters: list[tuple[str, int, int, bool]] = []
+    letters: list[tuple[str, int, int, bool]] = []  # blanks one by one, other letters by run
     for p in found:
-        for k, c in enumerate(p.text):
-            c = " " if c in "\t\xa0\r\f\v" else c
-            at = (p.start + k, p.start + k + 1) if p.literal else (p.start, p.end)
+        for m in RUNS.finditer(p.text):
+            c = " " if m[0] in "\t\xa0\r\f\v" else m[0]
+            at = (p.start + m.start(), p.start + m.end()) if p.literal else (p.start, p.end)
             if c in " \n" and letters and letters[-1][0] in " \n":
                 run = len(letters)
                 while run and letters[run - 1][0] in " \n":
@@ -158,14 +162,17 @@ def read(source: str | None) -> tuple[str, list[tuple[int, int, int, int, bool]]
     found: list[Piece] = []
     rows: list[tuple[str, str]] = []
     at = 0
+    depth = [0]  # text inside an element that is skipped must not come back after a table
     for a, b in tables(source):
-        found += pieces(source, at, a)
+        found += pieces(source, at, a, depth)
+        at = b
+        if depth[0]:
+            found += pieces(source, a, b, depth)
+            continue
         own = pairs(source, a, b)
         rows += own
         found.append(Piece("\n".join(f"{l}: {v}" if l else v for l, v in own) + "\n\n", a, b, False))
-        at = b
-    # Text inside an element that is skipped must not come back after a table: the skip is found from the whole.
-    text, kept = laid(iter([*found, *pieces(source, at, len(source))]))
+    text, kept = laid(iter([*found, *pieces(source, at, len(source), depth)]))
     spans, place = [], 0
     for p in kept:
         spans.append((place, place + len(p.text), p.start, p.end, p.literal))

@@ -39,19 +39,43 @@ def contained(inner: DataFrame, outer: DataFrame, key: str, width: int = 400) ->
 
 
 def nearest(treated: DataFrame, controls: DataFrame, features: Sequence[str], caliper: float = 0.25) -> DataFrame:
-    """(t, c, dist): for each treated row the control nearest by Euclid whose first feature is within the caliper.
+    """(t, c, dist): for each treated row the control nearest by Euclid, if it is within the caliper.
 
-    Rows have pos and the features; controls are used again; of equal distances the lower pos counts. A control is found in
-    its own bin of the first feature or a neighbouring one.
+    Rows have pos and the features, which are standardised over both tables together (sample deviation; none counts 1). Controls are
+    used again; of equal distances the lower pos counts. A control is found in its own bin of the first two features or a
+    neighbouring one. A row with a null feature has no match.
     """
+    both = treated.select(*features).unionByName(controls.select(*features))
+    known = both.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_samp(f).alias(f"s_{f}") for f in features]).first()
+    scaled = lambda f: (F.col(f) - F.lit(float(known[f"m_{f}"] or 0.0))) / F.lit(float(known[f"s_{f}"] or 1.0))
     bin_ = lambda c: F.floor(F.col(c) / caliper)
-    t = treated.select(F.col("pos").alias("t"), *[F.col(f).alias(f"t_{f}") for f in features]).withColumn("__bin", F.explode(F.sequence(bin_(f"t_{features[0]}") - 1, bin_(f"t_{features[0]}") + 1)))
-    c = controls.select(F.col("pos").alias("c"), *[F.col(f).alias(f"c_{f}") for f in features]).withColumn("__bin", bin_(f"c_{features[0]}"))
+    t = treated.select(F.col("pos").alias("t"), *[scaled(f).alias(f"t_{f}") for f in features])
+    c = controls.select(F.col("pos").alias("c"), *[scaled(f).alias(f"c_{f}") for f in features])
+    keys = []
+    for f in features[:2]:
+        keys.append(f"__bin_{f}")
+        t = t.withColumn(keys[-1], F.explode(F.sequence(bin_(f"t_{f}") - 1, bin_(f"t_{f}") + 1)))
+        c = c.withColumn(keys[-1], bin_(f"c_{f}"))
     square = sum(((F.col(f"t_{f}") - F.col(f"c_{f}")) ** 2 for f in features), F.lit(0.0))
-    pairs = t.join(c, "__bin").where(F.abs(F.col(f"t_{features[0]}") - F.col(f"c_{features[0]}")) <= caliper).withColumn("dist", F.sqrt(square))
+    pairs = t.join(c, keys).withColumn("dist", F.sqrt(square)).where(F.col("dist") <= caliper)
     return pairs.groupBy("t").agg(F.min(F.struct("dist", "c")).alias("b")).select("t", "b.c", "b.dist")
 
 
+def barriers_known(bars: DataFrame, notes: DataFrame, horizon: int, proximity: float) -> DataFrame:
+    """(ticker, date, near, pinned) of each bar with a note filed on an earlier bar's date or before.
+
+    near: the close before lies within the proximity of the nearest barrier known then; pinned: so does the close `horizon` bars
+    ahead to that barrier, null where there is none. Of equal distances the lower barrier counts. bars: ticker, date, close; notes:
+    ticker, filed, barrier. A bar meets the notes of its ticker only.
+    """
+    w = W.Window.partitionBy("ticker").orderBy("date")
+    held = bars.select("ticker", "date", F.lag("close", 1).over(w).alias("__before"), F.lead("close", horizon).over(w).alias("__ahead"))
+    pairs = held.where("__before is not null").join(notes.select("ticker", "filed", "barrier"), "ticker").where("filed < date")
+    off = F.abs(F.col("__before") - F.col("barrier")) / F.col("__before")
+    found = pairs.groupBy("ticker", "date").agg(F.min(F.struct(off.alias("off"), "barrier")).alias("b"), F.first("__ahead").alias("__ahead"))
+    return found.select("ticker", "date", (F.col("b.off") <= proximity).alias("near"), (F.abs(F.col("__ahead") - F.col("b.barrier")) / F.col("__ahead") <= proximity).alias("pinned"))
+
+
 def word_set(name: Column) -> Column:
     """A name as its distinct words in order, without case and signs: equal for reordered names."""
     return F.concat_ws(" ", F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "), lambda x: x != ""))))

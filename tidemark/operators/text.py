@@ -47,11 +47,15 @@ def joined(parts: DataFrame, chosen: Sequence[str], key: str = "doc_id", joiner:
 
 
 def labelled(text: Column, most: int = 700) -> Column:
-    """(label, value) pairs of lines `Label:: value`, or `Label: value` where single colons outnumber double ones."""
-    double = F.regexp_extract_all(text, F.lit(r"(?m)^([A-Z][^:\n]{0,60}::[^\n]*)"), F.lit(1))
-    either = F.regexp_extract_all(text, F.lit(r"(?m)^([A-Z][^:\n]{0,60}::?[^\n]*)"), F.lit(1))
-    lines = F.when(F.size(either) - F.size(double) > F.size(double), either).otherwise(double)
-    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("label"), F.substring(F.trim(F.regexp_replace(x, "^[^:]*::?", "")), 1, most).alias("value")))
+    """(label, value) pairs of `Label:: value`, or `Label: value` too where single colons outnumber double ones.
+
+    A label stands at the beginning of a line; its value goes on to the next label, over line ends, for `most` letters at most.
+    """
+    runs = lambda colons: F.regexp_extract_all(text, F.lit(rf"(?ms)(^[A-Z][^:\n]{{0,60}}{colons}(?:.(?!^[A-Z][^:\n]{{0,60}}{colons}))*.?)"), F.lit(1))
+    double, either = runs("::"), runs("::?")
+    found = F.when(F.size(either) - F.size(double) > F.size(double), either).otherwise(double)
+    value = lambda x: F.substring(F.regexp_replace(x, r"(?s)^[^:]*::?", ""), 1, most)
+    return F.transform(found, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("label"), F.regexp_replace(value(x), r"^\s+|\s+$", "").alias("value")))
 
 
 def sentences(text: Column) -> Column:

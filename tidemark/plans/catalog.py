@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import documents, indicators, matches, points_in_time, quality, scalars
+from tidemark.plans import documents, handles, indicators, matches, points_in_time, quality, scalars
 
-PLANS = (indicators, points_in_time, matches, quality, scalars, documents)
+PLANS = (indicators, points_in_time, matches, quality, scalars, documents, handles)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -202,7 +202,7 @@ ORACLE_SQL = {
     "doc5_reduced": f"WITH {_B}, m AS (SELECT l.*, c.h IS NOT NULL AS gone FROM l LEFT JOIN c ON l.lang = c.lang AND {_H} = c.h) SELECT doc_id, coalesce(sum(CASE WHEN NOT gone THEN length(paragraph) + 1 END) - 1, 0) AS n, round(100 * sum(CASE WHEN gone THEN length(paragraph) ELSE 0 END) / sum(length(paragraph)), 2) AS reduction FROM m GROUP BY 1",
     "doc6_sections": f"WITH {_S} SELECT section, count(*) AS n, count(DISTINCT doc_id) AS docs FROM x GROUP BY 1",
     "doc7_joined": f"WITH {_S} SELECT doc_id, sum(length(paragraph) + 1) - 1 AS n FROM x WHERE section IN ('table', 'release') GROUP BY 1",
-    "doc8_labels": "SELECT o_orderkey, pos, label, value FROM (SELECT o_orderkey, 0 AS pos, 'Order' AS label, CAST(o_orderkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 1, 'Status', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 2 + i, chr(65 + i::INT), CAST(i + 1 AS VARCHAR) FROM orders, range(3) r(i) WHERE o_orderkey % 2 = 0)",
+    "doc8_labels": "SELECT o_orderkey, pos, label, value FROM (SELECT o_orderkey, 0 AS pos, 'Order' AS label, o_orderkey || chr(10) || 'not a label' AS value FROM orders UNION ALL SELECT o_orderkey, 1, 'Status', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 2 + i, chr(65 + i::INT), CAST(i + 1 AS VARCHAR) FROM orders, range(3) r(i) WHERE o_orderkey % 2 = 0)",
     "doc26_matches": "WITH m AS (SELECT doc_id, regexp_extract(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') AS value, text FROM documents) SELECT doc_id, value, instr(text, value) - 1 AS start, instr(text, value) - 1 + length(value) AS \"end\" FROM m WHERE value <> ''",
     "doc15_located": "WITH w AS (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part) SELECT p_partkey, pos, instr(lower(p_name), lower(w)) - 1 AS start, instr(lower(p_name), lower(w)) - 1 + length(w) AS \"end\" FROM w",
     "scan13_schemaless": "SELECT l_orderkey, l_linenumber AS row_index, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty, l_returnflag AS flag, CASE WHEN l_linenumber % 2 = 1 THEN l_linestatus END AS status FROM lineitem",
