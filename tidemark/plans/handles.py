@@ -362,3 +362,18 @@ def agg37_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @handle("SELECT event_type, count(value)::DOUBLE / count(*) AS usable FROM events GROUP BY 1")
 def agg38_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("a"), F.count(F.lit(1)).alias("n")).select("event_type", q.ratio(F.col("a"), F.col("n")).alias("usable"))
+
+
+@handle("SELECT o_custkey, coalesce(arg_max(o_orderkey || '.htm', o_totalprice) FILTER (o_orderkey % 3 = 0), arg_max('index' || o_orderkey || '.htm', o_totalprice) FILTER (o_orderkey % 3 = 1), arg_max(o_orderkey || '.txt', o_totalprice) FILTER (o_orderkey % 3 = 2)) AS name FROM orders GROUP BY 1")
+def fn51_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest page that is no index, else the largest page, else the largest text."""
+    name = F.when(k() % 3 == 0, F.concat(k(), F.lit(".htm"))).when(k() % 3 == 1, F.concat(F.lit("index"), k(), F.lit(".htm"))).otherwise(F.concat(k(), F.lit(".txt")))
+    return s.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rec.main_document(name, price()).alias("name"))
+
+
+@handle("SELECT l_orderkey, CASE WHEN count(*) FILTER (l_linenumber = 2) > 0 THEN 'r2' ELSE 'r' || min(l_linenumber) FILTER (l_linenumber <> 2) END AS name FROM lineitem GROUP BY 1")
+def fn44_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhibit 99.1 (line 2 here), else the lowest-numbered exhibit."""
+    n = F.col("l_linenumber")
+    number = F.when(n == 2, 1).when(n == 1, 0).otherwise(n)
+    return s.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rec.press_release(F.concat(F.lit("r"), n), number).alias("name"))
