@@ -166,3 +166,27 @@ def test_one_changed_letter(spark):
         rows.append((1000 + i, " ".join(words)))
     out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.text == "" for r in out if r.doc_id >= 1000) >= 270 and all(r.text for r in out if r.doc_id < 1000)
+
+
+def test_many_distances_at_once():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a = "".join(rng.choice(list("abcd é"), rng.integers(1, 70)))
+        others = ["".join(rng.choice(list("abcd é"), rng.integers(1, 70))) for _ in range(3)] + [a, a[::2] or a, a[: len(a) // 2] + "x" + a[len(a) // 2 :]]
+        codes = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, *others)]
+        assert linededup.distances(codes[0], codes[1:]).tolist() == [slow_distance(a, b) for b in others]
+
+
+def test_wider_looks_join_what_one_look_joins():
+    at = np.random.default_rng(6).integers(0, 400, 80)
+    agree = lambda i, js: abs(at[js] - at[i]) <= 4
+    nears = [lambda i, js, most=most: abs(at[js] - at[i]) <= most for most in (2, 3, 9)]
+    trees = lambda edges: sorted(sorted(x) for x in _trees(80, edges))
+    assert trees(links.forest(80, nears[0], agree, nears[1:])) == trees(links.forest(80, nears[2], agree))
+
+
+def _trees(n, edges):
+    own = list(range(n))
+    for a, b in edges:
+        own = [own[b] if x == own[a] else x for x in own]
+    return [[i for i in range(n) if own[i] == r] for r in set(own)]

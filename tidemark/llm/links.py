@@ -11,7 +11,7 @@ the result still connects all that any pair of the bucket's nodes would.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +27,58 @@ BLOCK = 4096
 SAMPLE, CROWD, SHARE = 32, 64, 10_000
 #: Buckets of so many rows are compared all at once.
 SMALL = 16
-#: Given the columns of a bucket: near(i, js), which of js may be linked with i, and agree(i, j), which decides.
-Test = Callable[[dict], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, int], bool] | None]]
+Near = Callable[[int, np.ndarray], np.ndarray]
+#: Given the columns of a bucket: functions near(i, js), which of js may be linked with i, from the strictest to the one that
+#: leaves none out, and agree(i, js), which of js are linked with i (None: those that are near).
+Test = Callable[[dict], tuple[list[Near], Near | None]]
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Edges (i, j) of a spanning forest of the links among n nodes."""
-    if n == 2 and agree:
-        return [(0, 1)] if agree(0, 1) else []
+def forest(n: int, near: Near, agree: Near | None = None, wider: Sequence[Near] = ()) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the links among n nodes.
+
+    With wider functions the nearest pairs are looked at first, and of the others only those that these leave in different trees.
+    """
     edges: list[tuple[int, int]] = []
-    rest = np.arange(n)
+    rest, own = np.arange(n), np.zeros(n, int)
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        root, queue, rest = int(rest[0]), [int(rest[0])], rest[1:]
+        own[root] = root
         while queue and len(rest):
             i = queue.pop()
             hit = near(i, rest)
             if not hit.any():
                 continue
             if agree:
-                for at in np.flatnonzero(hit):
-                    hit[at] = agree(i, int(rest[at]))
+                hit[hit] = agree(i, rest[hit])
             found = rest[hit]
-            rest = rest[~hit]
+            rest, own[found] = rest[~hit], root
             edges += [(i, int(j)) for j in found]
             queue += found.tolist()
+    for more in wider:
+        edges += _joins(own, np.ones(n, bool), more, agree)
     return edges
 
 
-def bridges(labels: list, moving: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Edges between nodes of different labels, a moving node with any other; labels that an edge joins count as one."""
-    own = np.unique(np.array(labels, object).astype(str), return_inverse=True)[1]
+def _joins(own: np.ndarray, moving: np.ndarray, near: Near, agree: Near | None) -> list[tuple[int, int]]:
+    """bridges, with labels as numbers, which are changed as edges join them."""
     edges: list[tuple[int, int]] = []
     for i in np.flatnonzero(moving):
         js = np.flatnonzero((own != own[i]) & (~moving | (np.arange(len(own)) > i)))
-        for j in js[near(int(i), js)] if len(js) else js:
-            if own[j] != own[i] and (agree is None or agree(int(i), int(j))):
+        js = js[near(int(i), js)] if len(js) else js
+        if agree and len(js):
+            js = js[agree(int(i), js)]
+        for j in js:
+            if own[j] != own[i]:
                 edges.append((int(i), int(j)))
                 own[own == own[j]] = own[i]
     return edges
 
 
+def bridges(labels: list, moving: np.ndarray, near: Near, agree: Near | None = None) -> list[tuple[int, int]]:
+    """Edges between nodes of different labels, a moving node with any other; labels that an edge joins count as one."""
+    return _joins(np.unique(np.array(labels, object).astype(str), return_inverse=True)[1], moving, near, agree)
+
+
 def edges_of(rows: DataFrame, group: list[str], work: Callable[[dict], list[tuple]], columns: list[str], schema: str) -> DataFrame:
     """work gets the columns of one bucket (or block) and gives rows of the schema."""
     prepare(rows.sparkSession)
@@ -209,11 +221,11 @@ def linked(members: DataFrame, group: list[str], pairs: Callable[[dict], Callabl
 
     def within(group_: dict) -> list[tuple]:
         near, agree = test(group_)
-        return [(group_["node"][i], group_["node"][j]) for i, j in forest(len(group_["node"]), near, agree)]
+        return [(group_["node"][i], group_["node"][j]) for i, j in forest(len(group_["node"]), near[0], agree, near[1:])]
 
     def across(group_: dict) -> list[tuple]:
         near, agree = test(group_)
-        return [(group_["node"][i], group_["node"][j]) for i, j in bridges(list(group_["root"]), np.array(group_["moving"], bool), near, agree)]
+        return [(group_["node"][i], group_["node"][j]) for i, j in bridges(list(group_["root"]), np.array(group_["moving"], bool), near[-1], agree)]
 
     edges = stored(edges_of(whole(held), [*group, "b"], within, columns, schema), "edges")
     big = held.where("nb > 1")

@@ -96,7 +96,7 @@ def _pairs(max_bits: int) -> Callable[[dict], Callable]:
 def _test(max_bits: int) -> Callable[[dict], tuple]:
     def test(group: dict) -> tuple:
         values = group["node"].view(np.uint64)
-        return (lambda i, js: _near(values[js], np.full(len(js), values[i]), max_bits)), None
+        return [lambda i, js: _near(values[js], np.full(len(js), values[i]), max_bits)], None
 
     return test
 
