@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten components, each in a module of its own.
+"""Operators for preparing training text: thirteen components, each in a module of its own.
 
 Nothing else in the library imports this subpackage, and it imports nothing else from the library.
 """

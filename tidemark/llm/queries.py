@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprint, langid, linededup, pii, sharding, simhash, tokencount, toxicity
+from tidemark.llm import bpe, decontaminate, fingerprint, langid, linededup, pii, ranked, sharding, simhash, tokencount, toxicity, warc
 from tidemark.llm.rows import documents, held_out, prepare
 
 
@@ -78,6 +79,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the archives that are written for all pages."""
+    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 20 documents with the highest scores of every benchmark item."""
+    found = ranked.best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_fingerprint": op2_fingerprint,
@@ -89,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op12_warc": op12_warc,
+    "op13_ranked": op13_ranked,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,6 +118,24 @@ ORACLE_SQL: dict[str, str] = {
         hit AS (SELECT r, any_value(doc_id) doc_id, k, any_value(item_id) item_id, count(*) c FROM sd JOIN si USING (n, s) GROUP BY r, k)
         SELECT doc_id, item_id, c * 1.0::DOUBLE / m AS containment FROM hit JOIN sizes USING (k) WHERE c * 1.0::DOUBLE / m >= 0.8 - 1e-12
     """,
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS k, first(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS least FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((((strpos('0123456789abcdef', h[1 + i * 5 // 4]) - 1) * 16 + strpos('0123456789abcdef', h[2 + i * 5 // 4]) - 1) >> (3 - i * 5 % 4)) & 31)::BIGINT]), '') AS payload_digest,
+        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to FROM d
+    """,
+    "op13_ranked": """
+        WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+        iw AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+        qt AS (SELECT k, item_id, term, count(*) AS c FROM (SELECT k, item_id, unnest(w) AS term FROM iw) GROUP BY ALL),
+        dl AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM dw WHERE len(w) > 0),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM dl),
+        tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM dl) SEMI JOIN qt USING (term) GROUP BY ALL),
+        wt AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term),
+        hit AS (SELECT k, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score FROM tf JOIN wt USING (term) JOIN qt USING (term), total GROUP BY k, item_id, r, doc_id),
+        placed AS (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM hit WHERE score > 0 AND doc_id IS NOT NULL)
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+    """,
 }
 
 
