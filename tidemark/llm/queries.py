@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprint, langid, linededup, pii, ranked, sharding, simhash, tokencount, toxicity, warc
+from tidemark.llm import bpe, decontaminate, fingerprint, langid, linededup, pii, ranked, sharding, simhash, tokencount, toxicity, trie, warc
 from tidemark.llm.rows import documents, held_out, prepare
 
 
@@ -79,6 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node of the rebuilt conversations."""
+    return trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the archives that are written for all pages."""
     folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_prefixtrie": op11_prefixtrie,
     "op12_warc": op12_warc,
     "op13_ranked": op13_ranked,
 }
@@ -118,6 +124,19 @@ ORACLE_SQL: dict[str, str] = {
         hit AS (SELECT r, any_value(doc_id) doc_id, k, any_value(item_id) item_id, count(*) c FROM sd JOIN si USING (n, s) GROUP BY r, k)
         SELECT doc_id, item_id, c * 1.0::DOUBLE / m AS containment FROM hit JOIN sizes USING (k) WHERE c * 1.0::DOUBLE / m >= 0.8 - 1e-12
     """,
+    "op11_prefixtrie": """
+        WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS turn, length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL),
+        crc AS (SELECT c, xor(list_reduce(list_transform(range(length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, (i + 1)::BIGINT, 1))::BIGINT), lambda a, b: list_reduce(range(8)::BIGINT[], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+        seq AS (SELECT crc.c, 0 AS part, own.r, turn, len FROM crc JOIN own ON own.c = crc.c - crc.c % 100 AND own.r <= h UNION ALL SELECT c, 1, r, turn, len FROM own JOIN crc USING (c) WHERE r > h),
+        upto AS (SELECT c, row_number() OVER w AS pos, sha256(string_agg(sha256(turn), '') OVER w) AS key, len FROM seq WINDOW w AS (PARTITION BY c ORDER BY part, r) UNION ALL SELECT c, 0, '', 0 FROM crc),
+        p AS (SELECT *, max(pos) OVER (PARTITION BY c) AS whole FROM upto),
+        n AS (SELECT pos, key, min(c) AS owner, count(*) AS n, any_value(len) AS len, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (pos = whole), '')) AS ends FROM p GROUP BY pos, key),
+        up AS (SELECT n.*, m.owner AS parent, m.key AS parent_key FROM n LEFT JOIN p ON p.c = n.owner AND p.pos = n.pos - 1 LEFT JOIN n AS m ON m.pos = p.pos AND m.key = p.key),
+        kids AS (SELECT pos - 1 AS pos, parent_key AS key, count(*) AS kids FROM up WHERE pos > 0 GROUP BY ALL),
+        own_values AS (SELECT up.owner, up.pos, CASE WHEN kids IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * len AS saved FROM up LEFT JOIN kids USING (pos, key)),
+        sums AS (SELECT p.pos, p.key, sum(leaf)::BIGINT AS leaves, sum(saved)::BIGINT AS saved FROM own_values v JOIN p ON p.c = v.owner AND p.pos <= v.pos GROUP BY p.pos, p.key)
+        SELECT owner AS conv_id, pos AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, sums.saved AS saved_tokens, ends AS ends_sha256 FROM up LEFT JOIN kids USING (pos, key) JOIN sums USING (pos, key)
+    """,
     "op12_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS k, first(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS least FROM p)
