@@ -190,3 +190,16 @@ def _trees(n, edges):
     for a, b in edges:
         own = [own[b] if x == own[a] else x for x in own]
     return [[i for i in range(n) if own[i] == r] for r in set(own)]
+
+
+def test_components_copy_hot_nodes_only(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 1000)
+    star = spark.range(1, 20_001).selectExpr("id as a", "0L as b")
+    groups = spark.range(30_000).selectExpr("100000 + id as a", "100000 + id - id % 3 as b").where("a <> b")
+    edges = star.union(groups)
+    got = {r.node: r.root for r in components.connected(edges).collect()}
+    assert len(got) == 20_001 + 30_000 and all(got[n] == (0 if n < 100_000 else n - (n - 100_000) % 3) for n in got)
+    both = edges.selectExpr("a as u", "b as v").union(edges.selectExpr("b as u", "a as v"))
+    hot = components._hot(both, both.count())
+    assert [(r.u, r.k) for r in hot.collect()] == [(0, 20)]
+    assert components._lowest(both, hot).count() == both.count() and components._hot(groups.selectExpr("a as u", "b as v"), 20_000) is None

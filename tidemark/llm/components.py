@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemark.llm.rows import pieces, prepare
+from tidemark.llm.rows import prepare
 
-#: A node's edges are dealt to one task for so many edges of the graph, as a large group's root has an edge to each member.
+#: A node with more edges than this, and than a thousandth of all, is hot: its edges are dealt to tasks of so many each.
 EDGES = 50_000
 
 
-def _lowest(edges: DataFrame, salt: int) -> DataFrame:
-    """(u, v) with the least neighbour m of u, the node itself included."""
+def _hot(edges: DataFrame, total: int) -> DataFrame | None:
+    """(u, k): the hot nodes, fewer than 2,000, with the number of tasks for the edges of each; None if there are none."""
+    most = max(EDGES, total // 1000)
+    rows = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k")).where("k > 1").collect()
+    return edges.sparkSession.createDataFrame(rows, StructType([edges.schema["u"], StructField("k", IntegerType())])) if rows else None
+
+
+def _lowest(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(u, v) with the least neighbour m of u, the node itself included. Only hot nodes' rows are copied, once a task."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)).cast("int")).join(least.hint("merge"), ["u", "s"])
+    if hot is None:
+        return edges.join(least.hint("merge"), "u")
+    least = least.join(F.broadcast(hot), "u", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("s", F.pmod(F.xxhash64("v"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+    return dealt.join(least.hint("merge"), ["u", "s"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -35,8 +46,10 @@ def connected(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before, salt = state, pieces(state[0], EDGES)
+        before = state
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both, salt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _lowest(large, salt).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        # A node has no more edges in `large` than here, so the hot nodes of both are these.
+        hot = _hot(both, 2 * state[0])
+        large = _lowest(both, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _lowest(large, hot).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
