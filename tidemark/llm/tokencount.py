@@ -31,6 +31,20 @@ SPACE = regex.compile(r"\s+")
 LIMIT = 1024
 
 
+class Totals(dict):
+    """A piece to its tokens: the count at its longest prefix."""
+
+    def __init__(self, counts: Counter):
+        super().__init__()
+        self.counts = counts
+
+    def __missing__(self, piece: str) -> int:
+        found = self.counts[piece][-1]
+        if piece in self.counts:
+            self[piece] = found
+        return found
+
+
 class Counter(dict):
     """A piece to its token counts at every prefix of its bytes."""
 
@@ -40,6 +54,7 @@ class Counter(dict):
         self.longest = max(map(len, self.vocab.ids))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.raw = {i: t for t, i in self.vocab.ids.items()}
+        self.totals = Totals(self)
 
     def merged(self, raw: bytes) -> list[int]:
         parts = [self.vocab.first[b] for b in raw]
@@ -73,8 +88,8 @@ class Counter(dict):
         return found
 
     def total(self, piece: str) -> int:
-        """Tokens of a piece: the count at its longest prefix."""
-        return self[piece][-1]
+        """Tokens of a piece."""
+        return self.totals[piece]
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches between special strings, and those strings."""
@@ -83,8 +98,8 @@ class Counter(dict):
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
-        look = self.__getitem__
-        return sum([1 if special else sum([at[-1] for at in map(look, PIECES.findall(part))]) for part, special in self.parts(text or "")])
+        look = self.totals.__getitem__
+        return sum([1 if special else sum(map(look, PIECES.findall(part))) for part, special in self.parts(text or "")])
 
     def counts(self, text: str | None) -> list[int]:
         """Tokens of text[:0], text[:1], ... text[:n], each exactly as if that prefix were encoded alone."""
