@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tidemark.operators import html, joins, models, text, windows
@@ -162,16 +163,99 @@ def test_streamed_windows_are_the_batch_ones(spark, tmp_path):
     assert {tuple(r) for r in spark.table("hours").collect()} == want
 
 
-def test_promotions_are_the_batch_ones(spark, tmp_path):
-    from tidemark.operators.bitemporal import agreements
+def test_promotion_takes_any_number_of_days(spark):
+    from tidemark.operators.bitemporal import agreements, tracked
 
-    rng = random.Random(5)
-    rows = [(f, dt.date(2024, 1, 1) + dt.timedelta(days=i // 2), i, rng.random() < 0.7) for i in range(40) for f in (1, 2, 3)]
+    days = [(1, d, True) for d in (0, 5, 20, 40)] + [(2, d, d != 3) for d in (0, 1, 3, 4, 5, 6, 15)]
+    rows = [(f, dt.date(2024, 1, 1) + dt.timedelta(days=d), i, ok) for i, (f, d, ok) in enumerate(days)]
     checks = spark.createDataFrame(rows, "field long, day date, seq long, agree boolean")
-    checks.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = events.read_stream(spark, str(tmp_path / "in"), checks.schema)
-    events.drain(events.promotions(stream), "append", str(tmp_path / "c"), name="promoted")
-    assert {tuple(r) for r in spark.table("promoted").collect()} == {tuple(r) for r in agreements(checks).collect()}
+    assert {tuple(r) for r in agreements(checks).collect()} == {(1, dt.date(2024, 1, 21)), (2, dt.date(2024, 1, 7))}
+    got = {r.seq: (r.n, r.status, r.shadow) for r in tracked(checks).collect()}
+    assert [got[i] for i in range(4)] == [(1, "pending", False), (2, "pending", False), (3, "promoted", False), (4, "promoted", False)]
+    assert [got[i] for i in range(4, 11)] == [(1, "pending", False), (2, "pending", False), (0, "demoted", False), (1, "demoted", False), (2, "demoted", False), (3, "promoted", True), (4, "promoted", False)]
+    assert tracked(checks.limit(0)).count() == 0
+
+
+def test_promotions_of_a_stream_are_the_batch_ones_with_timers(spark, tmp_path):
+    from tidemark.operators.bitemporal import tracked
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = sorted((start + dt.timedelta(days=rng.randrange(40), seconds=f), f, rng.random() < 0.8) for f in (1, 2, 3) for _ in range(25))
+    rows = [(f, ts, i, ok) for i, (ts, f, ok) in enumerate(rows)]
+    rows += [(9, start + dt.timedelta(days=200 + k), 1000 + k, True) for k in range(2)]  # moves the watermark past all timers
+    schema = "field long, ts timestamp, seq long, agree boolean"
+    for k in range(0, len(rows), 8):
+        spark.createDataFrame(rows[k : k + 8], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.read_stream(spark, str(tmp_path / "in"), schema).withWatermark("ts", "60 days")
+    events.drain(events.promotions(stream), "append", str(tmp_path / "c"), name="changes")
+    got = [(r.field, r.at, r.status) for r in spark.table("changes").collect()]
+    checks = spark.createDataFrame(rows, schema).withColumn("day", F.to_date("ts"))
+    found = sorted(tracked(checks).collect(), key=lambda r: r.seq)
+    want, before, over = [], {}, []
+    for r in found:
+        if r.status != before.get(r.field, "pending"):
+            want.append((r.field, r.ts, r.status))
+        before[r.field] = r.status
+    assert sorted(x for x in got if x[2] != "shadow over") == sorted(want)
+    for f in (1, 2, 3):
+        first, n = None, 0
+        for r in [r for r in found if r.field == f]:
+            if not r.agree:
+                if n >= 3 and over and over[-1][0] == f and over[-1][3] == first and r.ts <= over[-1][1]:
+                    over.pop()
+                first, n = None, 0
+                continue
+            first, n = first or r.ts, n + 1
+            if n == 3 and r.ts - first <= dt.timedelta(days=7):
+                over.append((f, first + dt.timedelta(days=7), "shadow over", first))
+    assert sorted(x for x in got if x[2] == "shadow over") == sorted(x[:3] for x in over)
+
+
+def test_capped_ranges_split_warn_and_resume(spark, tmp_path):
+    from tidemark.streaming import ranges
+
+    path = f"{DATA}/sf0.001/events.parquet"
+    spark.dataSource.register(ranges.RangeSource)
+    day = lambda k: str(dt.date(2024, 1, k))
+    service = ranges.Listing(path, "ts", 120)
+    found = ranges.leaves(service, day(1), day(30))
+    assert [x.first for x in found] == sorted(x.first for x in found) and found[0].first == day(1) and found[-1].last == day(30) and len(found) > 5
+    assert all(service.count(x.first, x.last) < 120 for x in found if not x.full) and all(x.first == x.last for x in found if x.full)
+    assert all(str(dt.date.fromisoformat(a.last) + dt.timedelta(days=1)) == b.first for a, b in zip(found, found[1:], strict=False))
+    options = {"path": path, "time": "ts", "first": day(1), "last": day(30), "cap": "30"}
+    rows = spark.read.format("capped_ranges").schema("event_id long, value double, " + ranges.NOTE).options(**options).load().collect()
+    table = spark.read.parquet(path)
+    assert sorted(r.event_id for r in rows if r.note is None) == sorted(r.event_id for r in table.collect())
+    busy = {str(r.d) for r in table.groupBy(F.to_date("ts").alias("d")).count().where("count >= 30").collect()}
+    assert {r.first_day for r in rows if r.note} == busy and busy
+
+    def run(first, last):
+        stream = spark.readStream.format("capped_ranges").schema("event_id long, " + ranges.NOTE).options(**options | {"first": first, "last": last, "cap": "200"}).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).select("event_id").collect()
+
+    count = lambda a, b: service.__class__(path, "ts", 10**6).count(a, b)
+    assert len(run(day(10), day(15))) == count(day(10), day(15))
+    assert len(run(day(10), day(15))) == count(day(10), day(15))  # nothing new after a restart
+    got = [r.event_id for r in run(day(5), day(30))]  # both edges, and nothing twice
+    assert len(got) == len(set(got)) == count(day(5), day(30))
+
+
+def test_a_range_that_fails_is_named(spark, tmp_path):
+    from tidemark.streaming import ranges
+
+    spark.range(3).selectExpr("id", "timestamp'2024-01-01' as ts").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.dataSource.register(ranges.RangeSource)
+
+    class Broken(ranges.Listing):
+        def rows(self, first, last, columns):
+            raise OSError("gone")
+
+    reader = ranges.RangeReader(spark.createDataFrame([], "id long, " + ranges.NOTE).schema, {"path": str(tmp_path / "t"), "time": "ts", "first": "2024-01-01", "last": "2024-01-02"})
+    reader.service = Broken(str(tmp_path / "t"), "ts", 10)
+    assert list(reader.read(ranges.Range("2024-01-01", "2024-01-02"))) == [(None, "failed: OSError", "2024-01-01", "2024-01-02")]
 
 
 def test_ranges():

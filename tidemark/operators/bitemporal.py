@@ -179,13 +179,23 @@ def ranked(resolved: DataFrame, field: str, start: str, end: str) -> DataFrame:
     return cut.withColumn("rank", (own + F.element_at(first, F.col("__run"))).cast("int")).drop("__run")
 
 
-def agreements(checks: DataFrame, needed: int = 3, days: int = 7) -> DataFrame:
-    """(field, promoted): first day on which a field has agreed `needed` times in a row within `days` of the run's first.
+def tracked(checks: DataFrame, needed: int = 3, days: int = 7) -> DataFrame:
+    """checks (field, day, seq, agree) with n, status and shadow after each.
 
-    checks: field, day, seq, agree. A mismatch ends a run; gaps and islands, one window a field.
+    n counts agreements in a row. A field is `promoted` from the needed one on, however long the run took, `demoted` from a mismatch on until
+    it is promoted again, and `pending` before either. A promoted field is shadowed for `days` days from the run's first agreement.
+    Gaps and islands, one window a field.
     """
     w = W.Window.partitionBy("field").orderBy("seq")
-    runs = checks.withColumn("run", F.sum(F.when(F.col("agree"), 0).otherwise(1)).over(w)).where("agree")
-    inside = W.Window.partitionBy("field", "run").orderBy("seq")
-    counted = runs.withColumn("n", F.row_number().over(inside)).withColumn("start", F.first("day").over(inside))
-    return counted.where((F.col("n") >= needed) & (F.datediff("day", "start") <= days)).groupBy("field").agg(F.min("day").alias("promoted"))
+    runs = checks.withColumn("__run", F.sum(F.when(F.col("agree"), 0).otherwise(1)).over(w))
+    inside = W.Window.partitionBy("field", "__run").orderBy("seq")
+    counted = runs.withColumn("n", F.sum(F.when(F.col("agree"), 1).otherwise(0)).over(inside).cast("int"))
+    first = F.min(F.when(F.col("agree"), F.struct("seq", "day"))).over(inside)["day"]
+    status = F.when(F.col("n") >= needed, "promoted").when(F.col("__run") > 0, "demoted").otherwise("pending")
+    out = counted.withColumn("__first", first).withColumn("status", status)
+    return out.withColumn("shadow", F.coalesce((F.col("status") == "promoted") & (F.datediff("day", "__first") <= days), F.lit(False))).drop("__run", "__first")
+
+
+def agreements(checks: DataFrame, needed: int = 3) -> DataFrame:
+    """(field, promoted): the day on which a field has first agreed `needed` times in a row, whatever the days between."""
+    return tracked(checks, needed).where("status = 'promoted'").groupBy("field").agg(F.min("day").alias("promoted"))

@@ -10,6 +10,7 @@ from tidemark.plans import stand_ins as s
 from tidemark.plans.scalars import normal_cdf
 from tidemark.sources import filings
 from tidemark.streaming import events as ev
+from tidemark.streaming import ranges
 
 HEADINGS = {"table": r"\|", "shout": "^[^a-z]*[A-Z]{3,}[^a-z]*$", "release": "^Released"}
 
@@ -150,6 +151,15 @@ def strm10_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.final_days(s.table(spark, sf_dir, "events"))
 
 
+def strm3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events by a source that counts 300 rows at most and so plans its own splits; days with as many have a row that warns."""
+    spark.dataSource.register(ranges.RangeSource)
+    first, last = s.table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")).cast("string"), F.max(F.to_date("ts")).cast("string")).first()
+    options = {"path": f"{sf_dir}/events.parquet", "time": "ts", "first": first, "last": last, "cap": "300"}
+    found = spark.read.format("capped_ranges").schema("event_id long, " + ranges.NOTE).options(**options).load()
+    return found.select("event_id", "note", F.when(F.col("note").isNotNull(), F.col("first_day")).alias("day"))
+
+
 def strm7_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.after(s.table(spark, sf_dir, "events"), 500).select("event_id", "event_type")
 
@@ -215,6 +225,8 @@ ORACLE_SQL = {
     "strm_sliding": f"SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL (k * 30) MINUTE AS start, event_type, count(*) AS n, CAST({_E} AS BIGINT) AS cents FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2",
     "strm_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM r GROUP BY user_id, k",
     "strm10_days": f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST({_E} AS BIGINT) AS cents FROM events GROUP BY 1, 2",
+    "strm3_ranges": """SELECT event_id, NULL::VARCHAR AS note, NULL::VARCHAR AS day FROM events
+        UNION ALL SELECT NULL, 'full: rows may be missing', strftime(CAST(ts AS DATE), '%Y-%m-%d') FROM events GROUP BY CAST(ts AS DATE) HAVING count(*) >= 300""",
     "strm7_after": "SELECT event_id, event_type FROM events WHERE event_id > 500",
     "strm11_snapshots": "SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS seen FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)",
     "agg45_paired": f"WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_discount - l_tax) AS d, stddev_samp(l_discount - l_tax) / sqrt(count(*)) AS se FROM lineitem GROUP BY 1) SELECT l_returnflag, n, round(d, 9) AS diff, round(2 * (1 - {normal_cdf('abs(d / se)')}), 5) AS p FROM g",

@@ -113,13 +113,23 @@ def join24_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.ranked(b.by_priority(b.as_of(s.facts(spark, sf_dir), "1998-01-31"), FIELDS), "revenue", "1995-02-01", "1996-02-01")
 
 
-def strm4_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as checks: an agreement is a value over 10."""
     e = s.table(spark, sf_dir, "events")
-    return b.agreements(e.select(F.col("user_id").alias("field"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), (F.coalesce("value", F.lit(0.0)) > 10).alias("agree")))
+    return e.select(F.col("user_id").alias("field"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), (F.coalesce("value", F.lit(0.0)) > 10).alias("agree"))
+
+
+def strm4_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of each user's first promotion, however long the run took."""
+    return b.agreements(_checks(spark, sf_dir))
+
+
+def strm5_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check with its user's run, status and whether the user is shadowed."""
+    return b.tracked(_checks(spark, sf_dir)).select("field", "seq", "n", "status", "shadow")
 
 
-QUERIES = {f.__name__: f for f in (scan2_upsert, scan6_canonical, win22_latest, join6_as_of, filt9_as_of_collapsed, win23_history, agg15_by_priority, agg16_difference, agg18_per_year, win25_yoy, win26_qoq, join17_fourth, agg19_rollups, agg3_restated, agg3_filers, agg3_grid, join14_guidance, join24_ranked, strm4_agreements)}
+QUERIES = {f.__name__: f for f in (scan2_upsert, scan6_canonical, win22_latest, join6_as_of, filt9_as_of_collapsed, win23_history, agg15_by_priority, agg16_difference, agg18_per_year, win25_yoy, win26_qoq, join17_fourth, agg19_rollups, agg3_restated, agg3_filers, agg3_grid, join14_guidance, join24_ranked, strm4_agreements, strm5_shadow)}
 
 LATEST = f"{s.FACTS}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cik, concept, period_end ORDER BY accession DESC, ingested_seq DESC) = 1)"
 PRIORITY = """p(field, concept, rank) AS (VALUES ('revenue','F',0),('revenue','O',1),('cost','P',0),('cost','F',1),('any','O',0),('any','F',1),('any','P',2))"""
@@ -132,6 +142,9 @@ def _changes(where: str, gap: str) -> str:
  CASE WHEN pe IS NOT NULL AND NOT ({gap}) AND prior > 0 THEN round((value - prior) / prior * 100, 6) END AS pct FROM r"""
 
 
+#: Runs by mismatches so far; in a run the agreements count, and the first of them begins the shadow window.
+CHECKS = """WITH e AS (SELECT user_id AS field, CAST(ts AS DATE) AS day, event_id AS seq, coalesce(value, 0) > 10 AS agree FROM events), r AS (SELECT *, sum(CASE WHEN agree THEN 0 ELSE 1 END) OVER (PARTITION BY field ORDER BY seq) AS run FROM e),
+ c AS (SELECT *, CAST(count(*) FILTER (WHERE agree) OVER w AS INTEGER) AS n, min_by(day, seq) FILTER (WHERE agree) OVER w AS start FROM r WINDOW w AS (PARTITION BY field, run ORDER BY seq))"""
 ORACLE_SQL = {
     "scan2_upsert": f"""WITH {s.FACTS}, u AS (SELECT * FROM f UNION ALL SELECT * REPLACE (value + 1 AS value, ingested_seq + 10000000 AS ingested_seq) FROM f WHERE ingested_seq % 5 = 0)
  SELECT cik, concept, period_end, accession, value, ingested_seq FROM u QUALIFY row_number() OVER (PARTITION BY cik, concept, period_start, period_end, accession ORDER BY ingested_seq DESC) = 1""",
@@ -161,7 +174,6 @@ ORACLE_SQL = {
     "join24_ranked": f"""WITH {s.FACTS}, a AS (SELECT * FROM f WHERE filed <= '1998-01-31' QUALIFY row_number() OVER (PARTITION BY cik, concept, period_end ORDER BY accession DESC, ingested_seq DESC) = 1),
  r AS (SELECT * FROM a WHERE concept IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY cik, period_end ORDER BY concept) = 1)
  SELECT cik, period_end, value, accession, rank() OVER (ORDER BY value DESC NULLS LAST) AS rank FROM r WHERE period_end >= '1995-02-01' AND period_end < '1996-02-01'""",
-    "strm4_agreements": """WITH e AS (SELECT user_id AS field, CAST(ts AS DATE) AS day, event_id AS seq, coalesce(value, 0) > 10 AS agree FROM events), r AS (SELECT *, sum(CASE WHEN agree THEN 0 ELSE 1 END) OVER (PARTITION BY field ORDER BY seq) AS run FROM e),
- c AS (SELECT *, row_number() OVER (PARTITION BY field, run ORDER BY seq) AS n, first(day) OVER (PARTITION BY field, run ORDER BY seq) AS start FROM r WHERE agree)
- SELECT field, min(day) AS promoted FROM c WHERE n >= 3 AND date_diff('day', start, day) <= 7 GROUP BY field""",
+    "strm4_agreements": f"{CHECKS} SELECT field, min(day) AS promoted FROM c WHERE n >= 3 GROUP BY field",
+    "strm5_shadow": f"{CHECKS} SELECT field, seq, n, CASE WHEN n >= 3 THEN 'promoted' WHEN run > 0 THEN 'demoted' ELSE 'pending' END AS status, n >= 3 AND date_diff('day', start, day) <= 7 AS shadow FROM c",
 }

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour", ts: str = "ts", by: str = "event_type") -> DataFrame:
@@ -37,28 +38,48 @@ def final_days(events: DataFrame, late: str = "1 day", ts: str = "ts") -> DataFr
 
 
 def promotions(checks: DataFrame, needed: int = 3, days: int = 7) -> DataFrame:
-    """(field, promoted): emitted once, when a field has agreed `needed` times in a row within `days` of the first.
+    """(field, at, status): changes of each field's status as checks arrive, and the end of its shadow window.
 
-    checks: field long, day date, seq long, agree boolean. State a field: run length, day of its first, whether promoted.
-    Rows of a batch are taken in the order of seq.
+    checks: field long, ts timestamp with a watermark, seq long, agree boolean. A field is `promoted` at the needed agreement in a row, `demoted`
+    at a mismatch; `shadow over` comes by a timer once the watermark has passed `days` days after the run's first agreement, if no mismatch
+    came before. A field promoted later than that isn't shadowed, and has no such row. Rows of a batch are taken in the order of seq.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, start, done = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for day, agree in zip(pd.to_datetime(rows["day"]), rows["agree"], strict=True):
-            at = day.toordinal()
-            start = at if not n and agree else start
-            n = n + 1 if agree else 0
-            if n >= needed and at - start <= days and not done:
-                done = True
-                out.append((key[0], day.date()))
-        state.update((n, start, done))
-        if out:
-            yield pd.DataFrame(out, columns=["field", "promoted"])
-
-    return checks.groupBy("field").applyInPandasWithState(step, "field long, promoted date", "n long, start long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    span = days * 86_400_000
+
+    class Tracker(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.state = handle, handle.getValueState("run", "n int, first long, status string")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            n, first, status = self.state.get() if self.state.exists() else (0, 0, "pending")
+            out = []
+            taken = pd.concat(list(rows)).sort_values("seq")
+            for ts, agree in zip(taken["ts"], taken["agree"], strict=True):
+                now, before = int(ts.timestamp() * 1000), status
+                if not agree:
+                    # A mismatch after the window leaves its end as it is, even if the timer is still to come.
+                    if status == "promoted" and now - first <= span and first + span + 1 in set(self.handle.listTimers()):
+                        self.handle.deleteTimer(first + span + 1)
+                    n, first, status = 0, 0, "demoted"
+                else:
+                    n, first = n + 1, first if n else now
+                    status = "promoted" if n >= needed else status
+                    if status == "promoted" != before and now - first <= span:
+                        self.handle.registerTimer(first + span + 1)
+                if status != before:
+                    out.append((key[0], pd.Timestamp(now, unit="ms"), status))
+            self.state.update((n, first, status))
+            if out:
+                yield pd.DataFrame(out, columns=["field", "at", "status"])
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs() - 1, unit="ms")
+            yield pd.DataFrame([(key[0], at, "shadow over")], columns=["field", "at", "status"])
+
+        def close(self) -> None:
+            pass
+
+    return checks.groupBy("field").transformWithStateInPandas(Tracker(), "field long, at timestamp, status string", "Append", "eventTime")
 
 
 def after(events: DataFrame, seq: int, key: str = "event_id") -> DataFrame:
