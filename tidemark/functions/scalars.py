@@ -97,6 +97,14 @@ def clean_name(x: Column) -> Column:
     return F.regexp_replace(collapsed(F.lower(F.regexp_replace(F.regexp_replace(x, "[®™©*†]", ""), "(?i)^(the|shares? of|common stock of)\\s+", ""))), "[ ,.;:]+$", "")
 
 
+def clean_names(names: Column) -> Column:
+    """Names without invisible letters and line ends; two funds or indices printed as one are told apart if each part is one."""
+    plain = F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(n, F.lit("")), "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]", ""), r"\s+", " "))), lambda n: n != "")
+    parts = lambda n: F.split(n, r"(?<=\b(?:Index|ETF|Fund|Trust)(?:®|SM|TM)?(?:®|SM|TM)?)\s+(?=[A-Z])")
+    whole = lambda ps: F.forall(ps, lambda p: p.rlike(r"(?:Index|ETF|Fund|Trust)(?:®|SM|TM)*$"))
+    return F.flatten(F.transform(plain, lambda n: F.when(whole(parts(n)), parts(n)).otherwise(F.array(n))))
+
+
 def paragraph_hash(x: Column) -> Column:
     return F.sha1(collapsed(F.lower(x)))
 

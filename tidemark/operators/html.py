@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -197,3 +198,41 @@ def resolved(spans: Column, start: Column, end: Column) -> Column:
     a = F.when(first["literal"], first["source_start"] + start - first["text_start"]).otherwise(first["source_start"])
     b = F.when(last["literal"], last["source_start"] + end - last["text_start"]).otherwise(last["source_end"])
     return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))
+
+
+def _merged(own: list[dict], below: list[dict]) -> list[dict]:
+    """Spans of the upper text in the source of the lower one: literal ones cut at the lower map's bounds, others as the stretch that they cover."""
+    starts = [b["text_start"] for b in below]
+    out = []
+    for s in own:
+        a, z = s["source_start"], s["source_end"]
+        k = max(0, bisect_right(starts, a) - 1)
+        over = []
+        while k < len(below) and below[k]["text_start"] < z:
+            if below[k]["text_end"] > a:
+                over.append(below[k])
+            k += 1
+        if not over:
+            continue
+        if not s["literal"]:
+            ends = [(b["source_start"] + max(a, b["text_start"]) - b["text_start"], b["source_start"] + min(z, b["text_end"]) - b["text_start"]) if b["literal"] else (b["source_start"], b["source_end"]) for b in (over[0], over[-1])]
+            out.append({**s, "source_start": min(ends[0][0], ends[1][0]), "source_end": max(ends[0][1], ends[1][1])})
+            continue
+        for b in over:
+            lo, hi = max(a, b["text_start"]), min(z, b["text_end"])
+            source = (b["source_start"] + lo - b["text_start"], b["source_start"] + hi - b["text_start"]) if b["literal"] else (b["source_start"], b["source_end"])
+            out.append({"text_start": s["text_start"] + lo - a, "text_end": s["text_start"] + hi - a, "source_start": source[0], "source_end": source[1], "literal": b["literal"]})
+    return out
+
+
+def composed(spans: Column, below: Column) -> Column:
+    """The map from the text of `spans` straight to the source of `below`, whose text the sources of `spans` are. Two sorted lists are merged once.
+
+    Stretches that `below` has no span for are left out, as they stand for nothing in the source.
+    """
+
+    @F.pandas_udf(SPANS)
+    def run(upper: pd.Series, lower: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or b is None else _merged(list(u), list(b)) for u, b in zip(upper, lower, strict=True)])
+
+    return run(spans, below)

@@ -19,6 +19,31 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", separat
     return rows.where(F.trim("paragraph") != "")
 
 
+def placed_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n{2,}") -> DataFrame:
+    """(key, pos, paragraph, start): paragraphs that aren't blank, with the place of each in its text."""
+    cut = re.compile(separator)
+
+    @F.pandas_udf("array<struct<pos:int,paragraph:string,start:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> list[dict]:
+            ends = [(m.start(), m.end()) for m in cut.finditer(text)]
+            bounds = zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text)], strict=True)
+            return [{"pos": k, "paragraph": text[a:b], "start": a} for k, (a, b) in enumerate(bounds) if text[a:b].strip(" ")]
+
+        return texts.map(lambda t: one(t or ""))
+
+    return docs.select(key, F.explode(run(F.col(text))).alias("p")).select(key, "p.*")
+
+
+def reduced(kept: DataFrame, key: str = "doc_id", joiner: str = "\n\n") -> DataFrame:
+    """(key, text, spans): the kept paragraphs, joined in their order, with the map from the text to the one that they were cut from."""
+    rows = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "paragraph"))).alias("p"))
+    rows = rows.select(key, F.array_join(F.transform("p", lambda x: x["paragraph"]), joiner).alias("text"), F.posexplode("p").alias("k", "x"))
+    before = F.sum(F.length("x.paragraph") + len(joiner)).over(W.Window.partitionBy(key).orderBy("k")) - F.length("x.paragraph") - len(joiner)
+    span = F.struct(before.cast("int").alias("text_start"), (before + F.length("x.paragraph")).cast("int").alias("text_end"), F.col("x.start").alias("source_start"), (F.col("x.start") + F.length("x.paragraph")).alias("source_end"), F.lit(True).alias("literal"))
+    return rows.withColumn("s", span).groupBy(key).agg(F.first("text").alias("text"), F.array_sort(F.collect_list("s")).alias("spans"))
+
+
 def boilerplate(parts: DataFrame, group: str, share: float = 0.8, key: str = "doc_id") -> DataFrame:
     """(group, h, docs, total): hashes of paragraphs that at least this share of a group's documents have; a single document has none."""
     total = parts.groupBy(group).agg(F.countDistinct(key).alias("total"))

@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import documents, handles, indicators, matches, points_in_time, quality, scalars, term_sheets
+from tidemark.plans import documents, fields, handles, indicators, matches, points_in_time, quality, scalars, term_sheets
 
-PLANS = (indicators, points_in_time, matches, quality, scalars, documents, handles, term_sheets)
+PLANS = (indicators, points_in_time, matches, quality, scalars, documents, handles, term_sheets, fields)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
