@@ -137,7 +137,7 @@ def test_places_are_brute_force_and_prune(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows, bounds = docs.collect(), sharding.bounds_of(sharding.dimensions(docs, ["lang", "source"]).select("__tm_0", "__tm_1", "__tm_2"))
-    place = lambda v: -1 if v is None else int.from_bytes(v.encode()[:7].ljust(7, b"\0"), "big")
+    place = lambda v: "0" if v is None else "1" + v
     own, group = {}, {}
     for r in rows:
         raw = (r.text or "").encode()
@@ -176,3 +176,19 @@ def test_shards(spark, docs, odd, none, tmp_path):
     assert {(r.size, r.crc) for r in sharding.placed(odd).collect() if r.id == 3} == {(1, 0)}
     sharding.write_shards(docs, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 16
+
+
+def test_categories_are_told_apart_by_whole_values(spark, monkeypatch):
+    names = [None, "", "commoncrawl-a", "commoncrawl-b", "commoncrawl-c", "é", "𝄞"]
+    rows = [(k, "text", names[k % 7]) for k in range(700)] + [(k, "text", "commoncrawl-b") for k in range(700, 1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    values = frame.select(sharding.category("source").alias("c"))
+    few = sharding.text_bounds(values)
+    assert few == ["0", "1", "1commoncrawl-a", "1commoncrawl-b", "1commoncrawl-c", "1é"]
+    monkeypatch.setattr(sharding, "FEW", 2)
+    assert sharding.text_bounds(values) == few
+    many = spark.range(5000).selectExpr("concat('1host-', lpad(id, 6, '0')) as c")
+    cuts = sharding.text_bounds(many)
+    assert len(cuts) == 32 and cuts[16] == "1host-002499" and sharding.text_bounds(many.limit(0)) == []
+    monkeypatch.setattr(sharding, "FEW", 10_000)
+    assert sharding.text_bounds(many) == cuts

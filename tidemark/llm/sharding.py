@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import prepare
+from tidemark.llm.rows import prepare, stored
 
 BITS = 5
 SHARDS = 16
@@ -51,37 +51,70 @@ def curve(dims: int, bits: int = BITS) -> list[int]:
     return [hilbert([(c >> (bits * k)) & (size - 1) for k in range(dims)], bits) for c in range(size**dims)]
 
 
-def place_of(column: str) -> Column:
-    """A text's place in the order of texts, by its first seven bytes; null comes first."""
-    first = F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)
-    return F.coalesce(F.conv(F.rpad(F.hex(first), 14, "0"), 16, 10).cast("long"), F.lit(-1))
-
-
-def quantised(value: Column, bounds: Sequence[int], bits: int = BITS) -> Column:
+#: Distinct values of a category that the driver sorts; more are sorted over ranges.
+FEW = 4096
+
+
+def category(column: str) -> Column:
+    """A category's whole value with the order of texts; null comes before all."""
+    return F.coalesce(F.concat(F.lit("1"), F.col(column).cast("string")), F.lit("0"))
+
+
+def text_bounds(values: DataFrame, bits: int = BITS) -> list[str]:
+    """Values that cut the rows of one column of texts into runs of about equal counts, fewer than 2 ** bits of them: whole values, however many there are."""
+    (column,) = values.columns
+    counts = stored(values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")), "hilbert-values")
+    few = counts.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        held = sorted((r["v"].encode(), r["v"], r["n"]) for r in few)
+        total, upto, firsts = sum(n for _, _, n in held), 0, {}
+        for _, v, n in held:
+            upto += n
+            # v is the quantile of every share that its rows reach.
+            firsts.setdefault((upto << bits) // max(total, 1), v)
+    else:
+        ordered = stored(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()), "hilbert-values").withColumn("part", F.shiftright("at", 33))
+        before, total = {}, 0
+        for part, n in sorted(ordered.groupBy("part").agg(F.sum("n")).collect()):
+            before[part], total = total, total + n
+        offsets = values.sparkSession.createDataFrame(list(before.items()), "part long, before long")
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("at")) + F.col("before")
+        runs = ordered.join(F.broadcast(offsets), "part").select(F.expr(f"{1 << bits}L").alias("k"), "v", upto.alias("upto"))
+        firsts = dict(runs.groupBy(F.floor(F.col("upto") * F.col("k") / total).alias("k")).agg(F.min("v")).collect())
+    # Of the shares k / 2 ** bits, each has the first value that reaches it; the last value needs no bound.
+    reached, out = sorted(firsts.items()), []
+    for k in range(1 << bits):
+        out.append(next(v for share, v in reached if share >= k) if reached else None)
+    last = reached[-1][1] if reached else None
+    return sorted({v for v in out if v is not None and v != last}, key=str.encode)
+
+
+def quantised(value: Column, bounds: Sequence[int] | Sequence[str], bits: int = BITS) -> Column:
     """How many of the bounds lie below the value, spread over all numbers of the bits."""
     most = (1 << bits) - 1
-    rank = sum(((value > b).cast("int") for b in bounds), F.lit(0))
+    rank = sum(((value > F.lit(b)).cast("int") for b in bounds), F.lit(0))
     return F.floor(rank * most / max(1, len(bounds))).cast("int")
 
 
-def bounds_of(values: DataFrame, bits: int = BITS) -> list[list[int]]:
-    """For each column of numbers, values that cut its rows into runs of about equal counts, fewer than 2 ** bits of them."""
+def bounds_of(values: DataFrame, bits: int = BITS) -> list[list]:
+    """For each column, of numbers or of texts, values that cut its rows into runs of about equal counts, fewer than 2 ** bits of them."""
     shares = [k / (1 << bits) for k in range(1 << bits)] + [1.0]
-    found = values.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in values.columns]).first()
+    numbers = [c for c, kind in values.dtypes if kind != "string"]
+    found = values.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in numbers]).first() if numbers else {}
     # A bound is a value that rows have; each lies above the one before, the last value needs none.
-    return [sorted(set(r or []))[:-1] for r in found]
+    return [sorted(set(found[c] or []))[:-1] if c in numbers else text_bounds(values.select(c), bits) for c in values.columns]
 
 
 def dimensions(docs: DataFrame, categories: Sequence[str], text_col: str = "text") -> DataFrame:
-    """docs with __tm_0 (bytes of the text plus 1), __tm_1 ... (places of the categories)."""
+    """docs with __tm_0 (bytes of the text plus 1), __tm_1 ... (the categories, as texts)."""
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long") + 1
-    return docs.withColumns({"__tm_0": size} | {f"__tm_{k}": place_of(c) for k, c in enumerate(categories, 1)})
+    return docs.withColumns({"__tm_0": size} | {f"__tm_{k}": category(c) for k, c in enumerate(categories, 1)})
 
 
 def placed(docs: DataFrame, categories: Sequence[str] = ("lang", "source"), shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, crc, hilbert, shard, slot) for each row.
 
-    Rows of equal index are ordered by the text's hash, its crc and size, and the id, nulls first; rows equal in all of these are alike.     size is the text's bytes plus 1. Row counts of shards differ by at most one; slots run from 0 without gaps in curve order. A null text
+    Rows of equal index are ordered by the text's hash, its crc and size, and the id, nulls first; rows equal in all of these are alike. size is the text's bytes plus 1. Row counts of shards differ by at most one; slots run from 0 without gaps in curve order. A null text
     counts as no bytes (crc 0) and is equal to the empty text's group; null categories and ids have places of
     their own; repeated rows get slots of their own. Categories that docs lacks are left out. Other columns are not read; an
     empty table gives an empty result. The driver gets a number per sorted partition; texts are not shuffled.
