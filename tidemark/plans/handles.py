@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ of_orders("fn3_display", "'Acme ' || o_orderkey AS name, 'AC,B' || o_orderkey AS
           name=lambda: _shown()["name"], tickers=lambda: F.array_join(_shown()["tickers"], ","), cik=lambda: _shown()["cik"])
 of_orders("fn4_hit", "'000-' || o_orderkey AS accession, CASE WHEN o_orderkey % 2 = 0 THEN 'd:1.htm' END AS document", accession=lambda: _hit()["accession"], document=lambda: _hit()["document"])
 of_orders("fn5_clean", "'acme ' || lower(o_orderstatus) || ' inc' AS c", c=lambda: fn.clean_name(F.concat(F.lit("The  Acme® "), status(), F.lit(" Inc., "))))
-of_orders("fn8_camel", "'net sales of goods' AS c", c=lambda: fn.camel_label(F.lit("netSalesOf goods(3)")))
+of_orders("fn8_camel", "'net sales ' || lower(o_orderstatus) || ' goods' AS c", c=lambda: fn.camel_label(F.concat(F.lit("netSales"), F.col("o_orderstatus"), F.lit(" goods(3)"))))
 of_orders("fn10_extra", "o_orderkey % 10 = (100 - list_sum(list_transform(range(8), lambda i: list_sum(list_transform(string_split(CAST(CAST(substr(lpad(CAST(o_orderkey // 10 AS VARCHAR), 8, '0'), CAST(i + 1 AS INT), 1) AS INT) * (1 + i % 2) AS VARCHAR), ''), lambda c: CAST(c AS INT))))) % 10) % 10 AS ok",
           ok=lambda: fn.valid_cusip(F.lpad(k().cast("string"), 9, "0"), "*@#"))
 of_orders("fn52_hash", "sha1('a ' || lower(o_orderstatus) || ' b') AS h", h=lambda: fn.paragraph_hash(F.concat(F.lit(" A \n"), status(), F.lit("  b "))))
@@ -300,9 +302,9 @@ def set3_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 @handle("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
 def set4_differing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that differ between a table and a copy with every fifth value changed."""
-    a = s.table(spark, sf_dir, "orders").select(F.lit("x").alias("ticker"), "o_orderkey", price().alias("v"))
-    changed = a.withColumn("v", F.when(k() % 5 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    return a.exceptAll(changed).select("o_orderkey")
+    a = s.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), k().alias("date"), price().alias("v"))
+    changed = a.withColumn("v", F.when(F.col("date") % 5 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return w.differing(a, changed, ["v"]).select(F.col("date").alias("o_orderkey"))
 
 
 @handle("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
@@ -312,9 +314,13 @@ def strm8_memoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.only_new(o, o.where(k() % 3 == 0), "digest").select("o_orderkey")
 
 
-@handle("SELECT CAST(event_id AS BIGINT) AS event_id FROM events WHERE event_id > 50")
+@handle("SELECT event_id FROM events WHERE CAST(ts AS DATE) NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'")
 def strm2_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.after(s.table(spark, sf_dir, "events"), 50).select("event_id")
+    """Events of the days that a wider range adds to one that is covered."""
+    e = s.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    wanted = e.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    edges = [F.col("day").between(F.lit(a).cast("date"), F.lit(b).cast("date")) for a, b in ev.uncovered(tuple(wanted), ("2024-01-10", "2024-01-15"))]
+    return e.where(reduce(or_, edges, F.lit(False))).select("event_id")
 
 
 @handle("SELECT l_orderkey, l_linenumber AS n, l_extendedprice AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC) = 1")

@@ -237,3 +237,24 @@ def arcs(rows: DataFrame, xml: str = "xml") -> DataFrame:
 def numbered(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Row index from 0 in each key."""
     return rows.withColumn("row_index", F.row_number().over(W.Window.partitionBy(*keys).orderBy(order)) - 1)
+
+
+def index_types(page: Column) -> Column:
+    """File name to declared type, from the table of a filing's index page: the cell after the first one with a link, row by row.
+
+    Rows without a link (the header, whole submissions) are left out; a viewer's address is dropped from a name; of equal names the last row counts. A null
+    page has no files.
+    """
+    rows = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    link = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+    def file(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
+        at = F.array_position(F.transform(cells, lambda c: c.rlike(link)), F.lit(True)).cast("int")
+        name = F.trim(F.substring_index(F.substring_index(F.regexp_extract(F.try_element_at(cells, at), link, 1), "doc=", -1), "/", -1))
+        kind = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_element_at(cells, at + 1), F.lit("")), r"(?s)<[^>]+>", ""), r"^\s+|\s+$", "")
+        return F.when(at > 0, F.struct(name.alias("key"), kind.alias("value")))
+
+    found = F.array_compact(F.transform(rows, lambda r: F.when(r.rlike(link) & r.rlike(r"(?i)<td\b"), file(r))))
+    last = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
