@@ -192,3 +192,15 @@ def test_categories_are_told_apart_by_whole_values(spark, monkeypatch):
     assert len(cuts) == 32 and cuts[16] == "1host-002499" and sharding.text_bounds(many.limit(0)) == []
     monkeypatch.setattr(sharding, "FEW", 10_000)
     assert sharding.text_bounds(many) == cuts
+
+
+def test_ibans_end_where_their_country_says_and_telephones_are_linked(spark):
+    texts = ["BE68 5390 0754 7034", "BE68 5390 0754 7034 BANK", "pay BE68539007547034 SWIFT", "GB82 WEST 1234 5698 7654 32 NOW", "BE68 5390 0754 7035 BANK", "+49 30 123456", "+4930123456", "0049 30 123456", "(030) 123456", "+1 212 555 0187", "+12125550187"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").orderBy("doc_id"), "key").orderBy("doc_id").collect()]
+    assert out[1] == out[0] + " BANK" and out[0] != texts[0] and out[2] == f"pay {out[0].replace(' ', '')} SWIFT" and out[3] != texts[3] and out[3].endswith(" NOW") and out[4] == texts[4]
+    for x in (out[0], out[3].removesuffix(" NOW")):
+        bare = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    assert out[5].startswith("+49 ") and digits(out[5]) == digits(out[6]) == digits(out[7])[2:] != digits(texts[5]) and out[7].startswith("0049 ")
+    assert out[8] != texts[8] and out[8][0] == "(" and out[8][4:6] == ") " and digits(out[9]) == digits(out[10]) and out[9].startswith("+1 ")

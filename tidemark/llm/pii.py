@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms: validated numbers and dates, keyed-permuted within their format by a Feistel network.
 
 What is found and how it is checked: payment card numbers (13 to 19 digits, spaces or hyphens between, Luhn), social security numbers
-(000-00-0000 within the numbers that are given out), telephone numbers (an international code, or ten digits with signs between), IPv4
+(000-00-0000 within the numbers that are given out), telephone numbers (an international code after + or 00, an area code from 0 in parentheses, or
+ten digits with hyphens or points between; digits with spaces alone aren't known from other numbers), IPv4
 addresses (octets to 255), IBANs (check digits), dates (2020-01-31, 31.01.2020 and
 01/31/2020 that the calendar has; days and months come out with two digits) and, as numbers
 beside letters, the local parts of mail addresses. What fails its check stays as it is.
@@ -36,6 +37,23 @@ ALPHABETS = (
 MARK, ESCAPE = "\u0001\u0002", "\u0001\u0003"
 DAYS, DATE_RADICES = 146_097, (189, 773)
 
+# The length of each country's IBANs (the registry's), and the country codes of telephone numbers (E.164; all others have three digits).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 "
+    "LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _iban_pattern() -> str:
+    """IBANs by their countries' lengths, so that a word after one isn't taken for part of it; of other countries by groups of four."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS.split():
+        by_length.setdefault(int(x[2:]) - 4, []).append(x[:2])
+    known = [f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in sorted(by_length.items())]
+    return rf"(?<![0-9A-Za-z])(?:{'|'.join(known)}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?)(?![0-9A-Za-z])"
+
+
 #: The formats, in the order in which they are tried at a place.
 PATTERNS = {
     "mail": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -45,9 +63,11 @@ PATTERNS = {
     "mdy": r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9]|/[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])00[1-9][0-9]{0,2}[ .-](?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    r"|(?<![0-9(])\(0[0-9]{1,4}\)[ -]?[0-9]{3,4}[ -]?[0-9]{2,5}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
     r"|(?<![0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
+    "iban": _iban_pattern(),
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -220,7 +240,7 @@ def pseudonym(x: Column, key: str) -> Column:
     mail = F.concat(_signs(F.substring_index(x, "@", 1), key, "mail"), F.lit("@"), F.substring_index(x, "@", -1))
     ip_valid = F.forall(F.split(x, r"\."), lambda c: c.cast("int") <= 255)
     ssn_valid = x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
-    code = F.regexp_extract(x, r"^(\+1(?=[ .(-]|[0-9]{10}$)|\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|)", 1)
+    code = F.regexp_extract(x, rf"^((?:\+|00(?=[1-9])){COUNTRY}|)", 1)
     number = F.substring(x, F.length(code) + 1, F.length(x))
     phone = F.concat(code, _signs(number, key, "phone"))
     phone_valid = F.length(_core(x)).between(8, 15)
