@@ -115,7 +115,7 @@ def test_types_of_an_index_page(spark):
     from tidemark.sources.filings import index_types
 
     pages = [
-        ('<table><tr><th>Document</th><th>Type</th></tr><tr><td>1</td><td><a href="/ix?doc=/Archives/edgar/data/1/a-1.htm">a-1.htm</a> iXBRL</td><td scope="row">8-K</td></tr><tr><td>2</td><td><a\nhref=\'/x/ex991.htm\'>e</a></td><td>\n EX-99.1 </td></tr></table>', {"a-1.htm": "8-K", "ex991.htm": "EX-99.1"}),
+        ('<table><tr><th>Document</th><th>Type</th></tr><tr><td>1</td><td><a href="/ix?doc=/Archives/f/1/a-1.htm">a-1.htm</a> iXBRL</td><td scope="row">8-K</td></tr><tr><td>2</td><td><a\nhref=\'/x/ex991.htm\'>e</a></td><td>\n EX-99.1 </td></tr></table>', {"a-1.htm": "8-K", "ex991.htm": "EX-99.1"}),
         ('<TR><TD><A HREF="b.htm">b</A></TD></TR><tr><td><a href="b.htm">b</a></td><td>EX-99.2</td></tr><tr><td>whole</td><td>none</td></tr>', {"b.htm": "EX-99.2"}), ("no table", {}), (None, {}),
     ]
     got = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pages)], "k int, p string").select("k", index_types(F.col("p")).alias("m")).orderBy("k").collect()

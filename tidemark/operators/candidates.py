@@ -18,6 +18,7 @@ from pyspark.sql import window as W
 
 from tidemark.functions.scalars import iso_date, paragraph_hash
 
+# The shapes of numbers, dates and labels.
 NUMBER = re.compile(r"(?<![\w,.])\$?\d+(?:,\d{3})*(?:\.\d+)?%?")
 DATE = re.compile(r"\b[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?\s*,?\s*\d{4}\b|\b\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?\s*,?\s*\d{4}\b|\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b")
 LABEL = re.compile(r"([^\n:]+):")

@@ -71,7 +71,7 @@ _AMOUNT = r"\$\s?(\d{1,3}(?:\.\d{1,4})?)"
 _MARK = r"(?:\(([a-z\d])\)|(?<!\*)(\*{1,3})(?!\*))"
 _FIRM = r"(?:[A-Z][\w.'’-]*|&)(?:\s+(?:[A-Z][\w.'’-]*|&)){0,5}(?:\s+\(USA\))?,?\s+(?:LLC|L\.L\.C\.|Inc\.|Corp\.|Corporation|Limited|Ltd\.|plc|PLC|L\.P\.|N\.A\.)"
 _EST = r"estimated (?:initial )?value of (?:the|your) (?:securities|notes)"
-#: Patterns over whole documents.
+# The wordings that term sheets have, as patterns over whole documents.
 DOCUMENT = {
     "double": rf"{_LABEL}\s*::",
     "single": rf"(?m)(?:^|(?<=\. )|(?<=[●•▪■◼])|(?<=[●•▪■◼] )){_LABEL}:(?!:)\s",
@@ -95,7 +95,7 @@ DOCUMENT = {
     "symbols_table": r"(?s)Market Measure\s+Bloomberg Ticker Symbol\s+Starting Value\(1\)[^\n]*?Value\(3\)((?:(?!\(1\)).){0,3000})",
     "par_table": r"(?s)Reference Stocks?:{0,2}\s+Bloomberg\s+Ticker((?:(?!According to publicly available|\n\s*\(\d\)|Key Terms Relating to the Review).){0,6000})",
 }
-#: Patterns over the values of a label, by reader.
+# The wordings of a label's value, by reader.
 VALUE = {
     "cusip": r"\b([0-9A-Z]{9})\b",
     "isin": r"\b([A-Z]{2}[0-9A-Z]{9}\d)\b",
