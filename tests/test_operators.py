@@ -355,3 +355,17 @@ def test_labels_further_off_are_found():
     assert text._candidates(far)[0]["label"] == "Maturity Date"
     assert text._candidates("Coupon Rate:\n5%")[0]["label"] == "Coupon Rate"
     assert text._candidates("Coupon Rate:" + " " * 230 + "5%")[0]["label"] is None
+
+
+def test_files_of_mixed_forms_go_to_their_readers(spark):
+    four = "<ownershipDocument><issuer><issuerCik>7</issuerCik><issuerName>I</issuerName></issuer><nonDerivativeTable><nonDerivativeTransaction><securityTitle><value>Stock</value></securityTitle><transactionAmounts><transactionShares><value>5</value></transactionShares></transactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+    table = '<n1:informationTable xmlns:n1="u"><n1:infoTable><n1:nameOfIssuer>H</n1:nameOfIssuer><n1:value>9</n1:value></n1:infoTable><n1:infoTable><n1:nameOfIssuer>K</n1:nameOfIssuer><n1:value>8</n1:value></n1:infoTable></n1:informationTable>'
+    offer = "<edgarSubmission><primaryIssuer><entityName>P</entityName></primaryIssuer><offeringData><offeringSalesAmounts><totalOfferingAmount>100</totalOfferingAmount></offeringSalesAmounts></offeringData></edgarSubmission>"
+    files = [(1, " 4", four), (2, "4/a", four), (3, "13F-HR", table), (4, "D", offer), (5, "10-K", four), (6, None, four), (7, "4", table), (8, "144", None), (9, "D/A", "")]
+    frame = spark.createDataFrame(files, "doc int, form string, xml string")
+    rows, rejects = filings.dispatched(frame)
+    got = sorted((r.doc, r.reader, r.issuer, r.shares, r.value) for r in rows.selectExpr("doc", "reader", "variant_get(row, '$.issuer', 'string') issuer", "variant_get(row, '$.shares', 'double') shares", "variant_get(row, '$.value', 'double') value").collect())
+    assert got == [(1, "ownership", "I", 5.0, None), (2, "ownership", "I", 5.0, None), (3, "holdings", "H", None, 9.0), (3, "holdings", "K", None, 8.0), (4, "offerings", "P", None, None)]
+    single = filings.ownership(frame.where("doc in (1, 2)")).count() + filings.holdings(frame.where("doc = 3")).count() + filings.offerings(frame.where("doc = 4")).count()
+    assert rows.count() == single and {r.reader for r in rows.collect()} == {"ownership", "holdings", "offerings"}
+    assert {r.doc: r.reason for r in rejects.collect()} == {5: "no reader for form 10-K", 6: "no reader for form ", 7: "no ownershipDocument in it", 8: "no edgarSubmission in it", 9: "no edgarSubmission in it"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -258,3 +259,30 @@ def index_types(page: Column) -> Column:
     found = F.array_compact(F.transform(rows, lambda r: F.when(r.rlike(link) & r.rlike(r"(?i)<td\b"), file(r))))
     last = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)
+
+
+# The codes of the forms that each reader reads, and the element that their files have.
+FORMS = {
+    "ownership": (("3", "3/A", "4", "4/A", "5", "5/A"), "ownershipDocument"), "holdings": (("13F-HR", "13F-HR/A"), "informationTable"), "owners": (("SCHEDULE 13D", "SCHEDULE 13D/A", "SCHEDULE 13G", "SCHEDULE 13G/A"), "edgarSubmission"),
+    "offerings": (("D", "D/A"), "edgarSubmission"), "planned_sales": (("144", "144/A"), "edgarSubmission"),
+}
+
+
+def dispatched(files: DataFrame, form: str = "form", xml: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files of mixed forms: each file goes to the reader of its form code, case and blanks aside.
+
+    rows have the files' columns but the XML, `reader`, and `row`, a variant object of what the reader gives. rejects have the files' columns but the XML and a
+    reason: no reader, or XML without the form's element. A file that its reader finds nothing in has neither.
+    """
+    own = [c for c in files.columns if c != xml]
+    code = F.upper(F.trim(F.coalesce(F.col(form), F.lit(""))))
+    readers = {"ownership": ownership, "holdings": holdings, "owners": owners, "offerings": offerings, "planned_sales": planned_sales}
+    parts, reason = [], F.lit(None).cast("string")
+    for name, (codes, element) in FORMS.items():
+        fits = F.coalesce(F.col(xml), F.lit("")).rlike(rf"<(?:\w+:)?{element}\b")
+        reason = F.when(code.isin(*codes), F.when(~fits, f"no {element} in it")).otherwise(reason)
+        found = readers[name](files.where(code.isin(*codes) & fits), xml)
+        parts.append(found.select(*own, F.lit(name).alias("reader"), F.to_variant_object(F.struct(*[c for c in found.columns if c not in own])).alias("row")))
+    known = [c for codes, _ in FORMS.values() for c in codes]
+    reason = F.when(~code.isin(*known), F.concat(F.lit("no reader for form "), code)).otherwise(reason)
+    return reduce(DataFrame.unionByName, parts), files.withColumn("reason", reason).where("reason is not null").drop(xml)
