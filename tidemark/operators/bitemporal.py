@@ -117,10 +117,11 @@ def change(rows: DataFrame, kind: str, keys: Sequence[str] = ("cik",)) -> DataFr
 def fourth_quarters(quarters: DataFrame, annual: DataFrame) -> DataFrame:
     """(cik, period_start, period_end, value) of the last quarter where exactly three lie inside the year.
 
-    Quarters join the year that contains them on cik and year of the end, then by the interval.
+    Quarters join the years that may contain them on cik and the calendar year of their start, then by the interval.
     """
-    q = quarters.select("cik", F.col("period_start").alias("qs"), F.col("period_end").alias("qe"), F.col("value").alias("qv"))
-    inside = annual.join(q, "cik").where((F.col("qs") >= F.col("period_start")) & (F.col("qe") <= F.col("period_end")))
+    q = quarters.select("cik", F.col("period_start").alias("qs"), F.col("period_end").alias("qe"), F.col("value").alias("qv"), F.year("period_start").alias("__y"))
+    spread = annual.withColumn("__y", F.explode(F.sequence(F.year("period_start"), F.year("period_end"))))
+    inside = spread.join(q, ["cik", "__y"]).where((F.col("qs") >= F.col("period_start")) & (F.col("qe") <= F.col("period_end")))
     found = inside.groupBy("cik", "period_start", "period_end", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("qv").alias("known"), F.max("qe").alias("last"))
     return found.where("n = 3").select("cik", F.date_add(F.to_date("last"), 1).alias("period_start"), "period_end", (F.col("value") - F.col("known")).alias("value"))
 

@@ -7,7 +7,8 @@ all indicators of a table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -189,10 +190,33 @@ def annual_vol(n: int = 20) -> Column:
     return F.when(F.count("lret").over(w) == n, F.round(F.stddev_samp("lret").over(w) * (252**0.5) * 100, 4))
 
 
-def share_at_most(value: Column) -> Column:
-    """Per cent of the series so far that is not above the current value, rounded."""
-    history = F.collect_list(value).over(series().rowsBetween(W.Window.unboundedPreceding, 0))
-    return F.when(value.isNotNull(), F.round(F.size(F.filter(history, lambda x: x <= value)) / F.size(history) * 100))
+def share_at_most(rows: DataFrame, value: str, name: str, key: str = "ticker", order: str = "date") -> DataFrame:
+    """rows with the per cent of the series so far that is not above the current value, rounded; null for a null value.
+
+    Each series is walked once, its values so far kept in order; nulls don't count.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[float] = []
+        last = None
+        for pdf in batches:
+            counts = []
+            for k, v in zip(pdf["__key"], pdf["__value"], strict=True):
+                if k != last:
+                    held, last = [], k
+                known = v == v and v is not None
+                if known:
+                    insort(held, v)
+                counts.append((bisect_right(held, v) if known else None, len(held)))
+            pdf["__le"], pdf["__of"] = (pd.array(x, "Int64") for x in zip(*counts, strict=True)) if counts else ([], [])
+            yield pdf[["__key", "__order", "__value", "__le", "__of"]]
+
+    slim = rows.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.col(value).cast("double").alias("__value"))
+    kinds = {n: t for n, t in slim.dtypes}
+    found = slim.repartition("__key").sortWithinPartitions("__key", "__order").mapInPandas(run, f"__key {kinds['__key']}, __order {kinds['__order']}, __value double, __le long, __of long")
+    share = F.round(F.col("__le") / F.col("__of") * 100)
+    joined = rows.join(found, (F.col(key) == F.col("__key")) & (F.col(order) == F.col("__order")), "left")
+    return joined.withColumn(name, F.when(F.col("__le").isNotNull(), share)).drop("__key", "__order", "__value", "__le", "__of")
 
 
 def regime(value: str, steps: int = 26, band: float = 0.04) -> Column:

@@ -112,7 +112,7 @@ def win34_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win36_vol_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     vol = F.when(w.index() >= 13, F.round(F.stddev_samp("ret").over(w.series().rowsBetween(-12, 0)), 9))
     rows = w.with_changes(s.bars(spark, sf_dir)).withColumn("v", vol)
-    return rows.select("ticker", "date", w.share_at_most(F.col("v")).alias("x"))
+    return w.share_at_most(rows, "v", "x").select("ticker", "date", "x")
 
 
 def win39_range_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
