@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -66,14 +68,33 @@ def barriers_known(bars: DataFrame, notes: DataFrame, horizon: int, proximity: f
 
     near: the close before lies within the proximity of the nearest barrier known then; pinned: so does the close `horizon` bars
     ahead to that barrier, null where there is none. Of equal distances the lower barrier counts. bars: ticker, date, close; notes:
-    ticker, filed, barrier. A bar meets the notes of its ticker only.
+    ticker, filed, barrier. A series and its notes are walked once, by date.
     """
     w = W.Window.partitionBy("ticker").orderBy("date")
-    held = bars.select("ticker", "date", F.lag("close", 1).over(w).alias("__before"), F.lead("close", horizon).over(w).alias("__ahead"))
-    pairs = held.where("__before is not null").join(notes.select("ticker", "filed", "barrier"), "ticker").where("filed < date")
-    off = F.abs(F.col("__before") - F.col("barrier")) / F.col("__before")
-    found = pairs.groupBy("ticker", "date").agg(F.min(F.struct(off.alias("off"), "barrier")).alias("b"), F.first("__ahead").alias("__ahead"))
-    return found.select("ticker", "date", (F.col("b.off") <= proximity).alias("near"), (F.abs(F.col("__ahead") - F.col("b.barrier")) / F.col("__ahead") <= proximity).alias("pinned"))
+    own = bars.select("ticker", "date", F.lag("close", 1).over(w).alias("before"), F.lead("close", horizon).over(w).alias("ahead"))
+    none = F.lit(None).cast("double")
+    # A note comes after the bar of its day; the walk keeps a ticker's barriers in order and looks at the two around a close.
+    both = own.where("before is not null").select("ticker", "date", F.lit(0).alias("note"), F.col("before").cast("double").alias("before"), F.col("ahead").cast("double").alias("ahead"), none.alias("barrier"))
+    both = both.unionByName(notes.where("barrier is not null").select("ticker", F.col("filed").alias("date"), F.lit(1).alias("note"), none.alias("before"), none.alias("ahead"), F.col("barrier").cast("double").alias("barrier")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[float] = []
+        last = None
+        for pdf in batches:
+            best = []
+            for ticker, note, before, barrier in zip(pdf["ticker"], pdf["note"], pdf["before"], pdf["barrier"], strict=True):
+                if ticker != last:
+                    held, last = [], ticker
+                if note:
+                    insort(held, barrier)
+                at = bisect_left(held, before) if held and not note else 0
+                best.append(min(((abs(before - b) / before, b) for b in held[max(0, at - 1) : at + 1]), default=(None, None)) if held and not note else (None, None))
+            pdf["off"], pdf["barrier"] = (pd.array(x, "Float64") for x in zip(*best, strict=True)) if best else ([], [])
+            yield pdf[["ticker", "date", "ahead", "off", "barrier"]]
+
+    kinds = dict(both.dtypes)
+    found = both.repartition("ticker").sortWithinPartitions("ticker", "date", "note").mapInPandas(run, f"ticker {kinds['ticker']}, date {kinds['date']}, ahead double, off double, barrier double").where("off is not null")
+    return found.select("ticker", "date", (F.col("off") <= proximity).alias("near"), (F.abs(F.col("ahead") - F.col("barrier")) / F.col("ahead") <= proximity).alias("pinned"))
 
 
 def word_set(name: Column) -> Column:
