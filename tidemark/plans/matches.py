@@ -41,8 +41,8 @@ def join8_vol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join13_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order that is in part shipped, counted by nation."""
-    c, o = s.table(spark, sf_dir, "customer"), s.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    """Customers without an order, counted by nation."""
+    c, o = s.table(spark, sf_dir, "customer"), s.table(spark, sf_dir, "orders")
     missing = j.lookup(c.withColumnRenamed("c_custkey", "k"), o.select(F.col("o_custkey").alias("k"), "o_orderkey"), "k", "o_orderkey")[1]
     return missing.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
@@ -116,7 +116,7 @@ ORACLE_SQL = {
     "join18_forward": f"WITH {_N} SELECT note, px FROM n ASOF LEFT JOIN r ON n.k = r.k AND n.lt <= r.rt",
     "join8_vol_at": f"""WITH {s.BARS}, l AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS lret FROM b), st AS (SELECT ticker, date, close, CASE WHEN count(lret) OVER w = 20 THEN round(stddev_samp(lret) OVER w * sqrt(252) * 100, 4) END AS v20 FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)),
  n AS (SELECT l_orderkey, l_suppkey AS k, CAST(l_shipdate AS DATE) - 3 AS lt FROM lineitem) SELECT l_orderkey, close, v20 FROM n ASOF LEFT JOIN st ON n.k = st.ticker AND n.lt >= st.date""",
-    "join13_unpriced": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
+    "join13_unpriced": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "join17_contained": "SELECT l_orderkey AS k, l_linenumber, CAST(l_shipdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 90 AS oe FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AND CAST(l_shipdate AS DATE) + 10 <= CAST(o_orderdate AS DATE) + 90",
     "join18_calendar": f"WITH {s.TRADES} SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS date FROM t GROUP BY 1 HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM t)",
     "join19_nearest": """WITH r AS (SELECT p_partkey AS pos, p_size / 10.0::DOUBLE AS a, round(p_retailprice / 500.0::DOUBLE, 3) AS b FROM part),
