@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as j
+from tidemark.operators import trials
 from tidemark.plans import catalog
 
 
@@ -30,3 +31,21 @@ def test_nearest_in_a_crowd(spark):
         dist = np.sqrt(((z[::2] - z[t]) ** 2).sum(axis=1))
         assert (t in got) == (dist.min() <= 0.25)
         assert t not in got or (abs(got[t][1] - dist.min()) < 1e-9 and abs(dist[got[t][0] // 2] - dist.min()) < 1e-9)
+
+
+def test_groups_in_one_pass_are_groups_by_setting(spark):
+    from test_trials import SMALL, bars
+
+    held = spark.createDataFrame(bars(0.02), "ticker string, i int, close double, issued int, barrier double, a double, b double")
+    for control in ("zero", "low_tercile"):
+        want = trials.groups(trials.observations(held, ["a", "b"], ["s"], **SMALL), control)
+        got = trials.grouped(held, ["a", "b"], control, ["s"], **SMALL)
+        assert got.columns == want.columns and want.count() > 100
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_matches_are_not_sorted_as_pairs(spark):
+    """The plan has no rows of pairs and no sort of them: the search is one step of two sides."""
+    pool = spark.range(20).selectExpr("'u' AS u", "id % 2 = 0 AS treated", "id AS i", "'t' AS ticker", "id * 1.0D AS a", "id * 2.0D AS b", "0.5D AS v")
+    found = trials.matched(pool, ["u"], ["a", "b"], ["v"])
+    assert found.count() == 10 and "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
