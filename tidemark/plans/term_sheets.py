@@ -20,7 +20,7 @@ SELLERS = """concat('Issuer:: ', initcap(c_mktsegment), ' Finance LLC. Agent:: '
 
 
 def _sheets(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return s.table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{text} AS text")
+    return s.spread(s.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey").selectExpr("c_custkey", f"{text} AS text")
 
 
 def doc9_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
