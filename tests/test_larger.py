@@ -1,5 +1,6 @@
 """Whole jobs, and steps whose work grows with their rows."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins as j
 from tidemark.operators import trials
+from tidemark.operators import windows as w
 from tidemark.plans import catalog
 
 
@@ -49,3 +51,35 @@ def test_matches_are_not_sorted_as_pairs(spark):
     pool = spark.range(20).selectExpr("'u' AS u", "id % 2 = 0 AS treated", "id AS i", "'t' AS ticker", "id * 1.0D AS a", "id * 2.0D AS b", "0.5D AS v")
     found = trials.matched(pool, ["u"], ["a", "b"], ["v"])
     assert found.count() == 10 and "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+
+
+def _deepest(prices):
+    """By plain loops: the deepest fall from the highest of the prices so far; nulls, and falls from 0 or NaN, don't count."""
+    own, worst = [p for p in prices if p is not None], 0.0
+    for k, p in enumerate(own):
+        top = max(own[: k + 1])
+        if top != 0 and not any(math.isnan(q) for q in own[: k + 1]):
+            worst = min(worst, (p / top - 1) * 100)
+    return worst if len(own) >= 2 else None
+
+
+def test_drawdowns_are_walked(spark):
+    """Series longer than an Arrow batch, one of a single row, nulls and prices that aren't above 0; no list of prices is kept for a row."""
+    rng = random.Random(7)
+    strange = {20: None, 21: None, 300: float("nan"), 900: -4.0, 901: 0.0, 902: -8.0}
+    series = {"a": [round(rng.uniform(1, 99), 2) for _ in range(700)], "b": [5.0], "c": [strange.get(k, round(rng.uniform(1, 99), 2)) for k in range(1000)], "d": [0.0, 0.0, 3.0, 1.0]}
+    rows = spark.createDataFrame([(t, k, p) for t, ps in series.items() for k, p in enumerate(ps)], "ticker string, date int, close double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    for n in (252, 13):
+        found = w.max_drawdown(rows, "x", n)
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+        got = {(r.ticker, r.date): r.x for r in found.collect()}
+        assert got == {(t, k): _deepest(ps[max(0, k - n) : k]) for t, ps in series.items() for k in range(len(ps))}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_windows_are_computed_once(spark):
+    """Row numbers and averages that several indicators name are one window each, and a gate's cuts share one order of the bars."""
+    bars = spark.range(9).selectExpr("id % 2 AS ticker", "id AS date", "1.0D AS high", "1.0D AS low", "id * 1.0D AS close")
+    plan = w.indicators(w.truncated(bars, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1 and plan.count("avg(close") == 2 and "DESC" not in plan

@@ -10,7 +10,10 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +34,13 @@ def index(key: str = "ticker", order: str = "date") -> Column:
     return F.row_number().over(series(key, order)) - 1
 
 
-def guarded(value: Column, least: int) -> Column:
-    """value once at least `least` rows come before."""
-    return F.when(index() >= least, value)
+def guarded(value: Column, least: int, at: Column | None = None) -> Column:
+    """value once at least `least` rows come before; at is a column with the row's number, if there is one."""
+    return F.when((index() if at is None else at) >= least, value)
+
+
+def _change(now: Column, start: Column) -> Column:
+    return F.when(start != 0, (now / start - 1) * 100)
 
 
 def sma(n: int, price: str = "close") -> Column:
@@ -47,14 +54,12 @@ def sma_cross(fast: int = 50, slow: int = 200) -> Column:
 
 def prior_return(months: int, price: str = "close", month: int = 21) -> Column:
     """Per cent change over whole months up to the row before."""
-    start = F.lag(price, month * months + 1).over(series())
-    return F.when(start != 0, (F.lag(price, 1).over(series()) / start - 1) * 100)
+    return _change(F.lag(price, 1).over(series()), F.lag(price, month * months + 1).over(series()))
 
 
 def momentum_12_1(price: str = "close", month: int = 21) -> Column:
     """Per cent change over twelve months that end a month ago."""
-    start = F.lag(price, 13 * month + 1).over(series())
-    return F.when(start != 0, (F.lag(price, month + 1).over(series()) / start - 1) * 100)
+    return _change(F.lag(price, month + 1).over(series()), F.lag(price, 13 * month + 1).over(series()))
 
 
 def rank_percent(value: Column, key: Column, by: str = "date") -> Column:
@@ -67,16 +72,23 @@ def rank_percent(value: Column, key: Column, by: str = "date") -> Column:
 
 def with_changes(bars: DataFrame) -> DataFrame:
     """Columns the other indicators share: change, simple return and true range of each row."""
-    before = F.lag("close", 1).over(series())
+    before = F.col("__before")
     ranges = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return bars.withColumns({"chg": F.col("close") - before, "ret": F.when(before != 0, F.col("close") / before - 1), "tr": F.when(before.isNotNull(), ranges)})
+    held = bars.withColumn("__before", F.lag("close", 1).over(series()))
+    return held.withColumns({"chg": F.col("close") - before, "ret": F.when(before != 0, F.col("close") / before - 1), "tr": F.when(before.isNotNull(), ranges)}).drop("__before")
 
 
 def rsi(n: int = 14) -> Column:
     """Relative strength of simple averages over n changes; 100 where nothing fell. Needs with_changes()."""
-    up = F.sum(F.greatest(F.col("chg"), F.lit(0.0))).over(prior(n)) / n
-    down = F.sum(F.greatest(-F.col("chg"), F.lit(0.0))).over(prior(n)) / n
-    return guarded(F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + up / down)), n + 1)
+    return guarded(_strength(*_moves(n)), n + 1)
+
+
+def _moves(n: int) -> tuple[Column, Column]:
+    return tuple(F.sum(F.greatest(c, F.lit(0.0))).over(prior(n)) / n for c in (F.col("chg"), -F.col("chg")))
+
+
+def _strength(up: Column, down: Column) -> Column:
+    return F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + up / down))
 
 
 def atr(n: int = 14) -> Column:
@@ -94,16 +106,71 @@ def beta(n: int = 60, market: str = "market_ret") -> Column:
     return guarded(F.when(var != 0, F.covar_samp("ret", market).over(prior(n)) / var), n + 1)
 
 
-def max_drawdown(n: int = 252, price: str = "close") -> Column:
-    """Deepest fall from a peak, in per cent (0 or less), over up to n earlier closes, at least two."""
-    closes = F.collect_list(price).over(prior(n))
-    fold = F.aggregate(
-        closes,
-        F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("worst")),
-        lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["worst"], (x / F.greatest(a["peak"], x) - 1) * 100).alias("worst")),
-        lambda a: a["worst"],
-    )
-    return F.when(F.size(closes) >= 2, fold)
+def _falls(x: np.ndarray, known: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The deepest fall over the up to n values before each place, those from the place `first` of its series on; NaN for fewer than two known ones.
+
+    A stretch is its peak, its trough and its worst fall; two neighbours make one, so stretches of 1, 2, 4... values give any n.
+    """
+    at = np.arange(len(x))
+    plain = known & np.isfinite(x) & (x > 0)
+    peak, trough, worst = np.where(plain, x, 0.0), np.where(plain, x, np.inf), np.zeros(len(x))
+
+    def before(places: np.ndarray, held: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        inside = places >= first
+        return tuple(np.where(inside, v[np.maximum(places, 0)], none) for v, none in zip(held, (0.0, np.inf, 0.0), strict=True))
+
+    def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        return np.maximum(a[0], b[0]), np.minimum(a[1], b[1]), np.minimum(np.minimum(a[2], b[2]), (b[1] / a[0] - 1) * 100)
+
+    with np.errstate(all="ignore"):
+        held, size, end, out = (peak, trough, worst), 1, at - 1, None
+        while size <= n:
+            if n & size:
+                own = before(end, held)
+                out = own if out is None else merged(own, out)
+                end = end - size
+            held = merged(before(at - size, held), held)
+            size *= 2
+        low = np.maximum(first, at - n)
+        found = out[2]
+        # Where prices aren't above 0 or aren't finite, a trough and a peak don't tell the fall; these few places are walked.
+        strange = np.r_[0, np.cumsum(known & ~plain)]
+        for k in np.flatnonzero(strange[at] > strange[low]):
+            own = x[low[k] : k][known[low[k] : k]]
+            tops = np.maximum.accumulate(own)
+            found[k] = np.fmin.reduce(np.where(tops == 0, 0.0, (own / tops - 1) * 100), initial=0.0)
+        count = np.r_[0, np.cumsum(known)]
+        return np.where(count[at] - count[low] >= 2, found, np.nan)
+
+
+def max_drawdown(rows: DataFrame, name: str = "drawdown", n: int = 252, price: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """rows with the deepest fall from a peak, in per cent (0 or less), over up to n earlier prices, at least two; nulls don't count, nor do peaks of 0.
+
+    Each series is walked once, in Arrow batches that keep the last n prices of the batch before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x, known = None, np.zeros(0), np.zeros(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, prices = batch.column(batch.schema.get_field_index(key)), batch.column(batch.num_columns - 1)
+            codes = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            if last is None or keys[0].as_py() != last[0]:
+                x, known = x[:0], known[:0]
+            kept = len(x)
+            x, known = np.r_[x, prices.to_numpy(zero_copy_only=False)], np.r_[known, prices.is_valid().to_numpy(zero_copy_only=False)]
+            begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            begins[1:] += kept
+            first = np.repeat(begins, np.diff(np.r_[begins, len(x)]))
+            found = _falls(x, known, first, n)[kept:]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, mask=np.isnan(found))], [*batch.schema.names[:-1], name])
+            last = (keys[-1].as_py(),)
+            low = max(first[-1], len(x) - n)
+            x, known = x[low:], known[low:]
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+    return rows.withColumn("__price", F.col(price).cast("double")).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def ema_fold(values: Column, span: int) -> Column:
@@ -138,10 +205,21 @@ def indicators(bars: DataFrame, market: DataFrame | None = None, *, fast: int =
     if market is not None:
         rows = rows.join(market, "date", "left")
         extra = {"beta": beta()}
-    return rows.withColumns({
-        "sma_fast": sma(fast), "sma_slow": sma(slow), "cross": sma_cross(fast, slow), "ret_1m": prior_return(1), "mom_12_1": momentum_12_1(),
-        "rsi": rsi(), "atr": atr(), "vol": realized_vol(), "drawdown": max_drawdown(), **extra,
-    }).drop("chg", "ret", "tr", "market_ret")
+    up, down = _moves(14)
+    lag = lambda n: F.lag("close", n).over(series())
+    # Each window once: Spark computes one anew wherever an expression names it.
+    once = rows.withColumns({
+        "__i": index(), "__fast": F.avg("close").over(prior(fast)), "__slow": F.avg("close").over(prior(slow)), "__up": up, "__down": down,
+        "__tr": F.avg("tr").over(prior(14)), "__vol": F.stddev_samp("ret").over(prior(20)), "__1": lag(1), "__22": lag(22), "__274": lag(274), **extra,
+    })
+    i = F.col("__i")
+    held = once.withColumns({
+        "sma_fast": guarded(F.col("__fast"), fast, i), "sma_slow": guarded(F.col("__slow"), slow, i), "ret_1m": _change(F.col("__1"), F.col("__22")), "mom_12_1": _change(F.col("__22"), F.col("__274")),
+        "rsi": guarded(_strength(F.col("__up"), F.col("__down")), 15, i), "atr": guarded(F.col("__tr"), 15, i), "vol": guarded(F.col("__vol"), 21, i),
+    }).withColumn("cross", F.signum(F.col("sma_fast") - F.col("sma_slow")).cast("int"))
+    slim = held.select(*bars.columns, "sma_fast", "sma_slow", "cross", "ret_1m", "mom_12_1", "rsi", "atr", "vol", *extra)
+    # Last, as the rows lie by ticker and date already.
+    return max_drawdown(slim).select(*slim.columns[: -len(extra) or None], "drawdown", *extra)
 
 
 def leaky(bars: DataFrame, kind: str, n: int = 14) -> DataFrame:
@@ -165,7 +243,7 @@ def differing(full: DataFrame, part: DataFrame, columns: Sequence[str]) -> DataF
 
 def truncated(bars: DataFrame, last: int) -> DataFrame:
     """bars without the last rows of each ticker."""
-    return bars.withColumn("__from_end", F.row_number().over(W.Window.partitionBy("ticker").orderBy(F.desc("date")))).where(F.col("__from_end") > last).drop("__from_end")
+    return bars.withColumn("__later", F.lead(F.lit(True), last).over(series())).where(F.col("__later").isNotNull()).drop("__later")
 
 
 def trailing_sum(value: str, n: int) -> Column:

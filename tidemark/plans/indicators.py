@@ -41,7 +41,7 @@ def market(bars: DataFrame) -> DataFrame:
 
 def win_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame indicator of every bar."""
-    out = w.indicators(s.bars(spark, sf_dir))
+    out = w.indicators(s.bars(spark, sf_dir).select("ticker", "date", "high", "low", "close"))
     return out.select("ticker", "date", *[_r(F.col(c)).alias(c) for c in ("sma_fast", "sma_slow", "ret_1m", "mom_12_1", "rsi", "atr", "vol", "drawdown")], "cross")
 
 
@@ -65,9 +65,13 @@ def win13_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.with_changes(bars).join(market(bars), "date", "left").select("ticker", "date", _r(w.beta(20)).alias("x"))
 
 
+def win14_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.max_drawdown(s.bars(spark, sf_dir).select("ticker", "date", "close"), "x").select("ticker", "date", _r(F.col("x")).alias("x"))
+
+
 def win16_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows where indicators of truncated bars differ from those of all bars, for 10, 50 and 100 rows cut: none."""
-    bars = s.bars(spark, sf_dir)
+    bars = s.bars(spark, sf_dir).select("ticker", "date", "high", "low", "close")
     full = w.indicators(bars)
     out = None
     for n in (10, 50, 100):
@@ -139,7 +143,7 @@ QUERIES = {
     "win11_vol": _one(lambda d: d.withColumn("x", _r(w.realized_vol()))),
     "win12_clusters": win12_clusters,
     "win13_beta": win13_beta,
-    "win14_drawdown": _one(lambda d: d.withColumn("x", _r(w.max_drawdown()))),
+    "win14_drawdown": win14_drawdown,
     "win16_gate": win16_gate,
     "win17_leaks_caught": win17_leaks_caught,
     "win29_trailing": win29_trailing,
