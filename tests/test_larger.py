@@ -4,9 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from tidemark.operators import batches, html
 from tidemark.operators import joins as j
+from tidemark.operators import text as t
 from tidemark.operators import trials
 from tidemark.operators import windows as w
 from tidemark.plans import catalog
@@ -83,3 +87,36 @@ def test_windows_are_computed_once(spark):
     bars = spark.range(9).selectExpr("id % 2 AS ticker", "id AS date", "1.0D AS high", "1.0D AS low", "id * 1.0D AS close")
     plan = w.indicators(w.truncated(bars, 2))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") == 1 and plan.count("avg(close") == 2 and "DESC" not in plan
+
+
+def test_texts_come_in_parts_of_bounded_bytes(spark):
+    """A worker makes Python objects of a part of the texts at once, not of 10,000 rows; a longer text is alone, nulls and empty parts hold."""
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "CASE WHEN id = 7 THEN repeat('y', 900000) WHEN id % 9 <> 0 THEN repeat('x', 10000) END AS text")
+
+    def work(texts):
+        size = sum(len(x or "") for x in texts)
+        places = [k for k, x in enumerate(texts) if x is not None]
+        return places, {"together": pa.array([size] * len(places), pa.int64()), "longest": pa.array([max(len(x or "") for x in texts)] * len(places), pa.int64())}
+
+    found = batches.map_parts(rows, work, T._parse_datatype_string("id long, together long, longest long")).collect()
+    assert sorted(r.id for r in found) == [k for k in range(400) if k % 9]
+    assert all(r.together <= max(2 * batches.PART_BYTES, r.longest + batches.PART_BYTES) for r in found)
+
+
+def test_pages_are_read_once(spark):
+    """A filter on a page's text doesn't read the page a second time, and a stretch is sought twice, for its ends."""
+    pages = spark.createDataFrame([(1, "<p>a &amp; b</p>"), (2, None), (3, "<table><tr><td>k</td><td>v</td></tr></table>")], "page_id long, html string")
+    out = html.normalised(pages)
+    found = out.where(F.length("text") > 0).select("page_id", html.resolved(F.col("spans"), F.lit(0), F.length("text")).alias("r"), "pairs")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and plan.count("filter(") == 2
+    assert [(r.page_id, tuple(r.r), r.pairs) for r in found.orderBy("page_id").collect()] == [(1, (3, 12), []), (3, (0, 44), [("k", "v")])]
+
+
+def test_reduced_texts_are_not_copied_by_line(spark):
+    """Lines of a document meet in one aggregation; before, each line carried the whole text through a window."""
+    docs = spark.createDataFrame([(1, "ab\n\nc"), (2, None), (3, "d\n \nef\ng")], "doc_id long, text string")
+    once = t.reduced(t.placed_paragraphs(docs, separator="\n"), joiner=" | ")
+    assert "Generate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.spans]) for r in once.collect()}
+    assert got == {1: ("ab | c", [(0, 2, 0, 2, True), (5, 6, 4, 5, True)]), 3: ("d | ef | g", [(0, 1, 0, 1, True), (4, 6, 4, 6, True), (9, 10, 7, 8, True)])}

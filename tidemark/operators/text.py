@@ -6,11 +6,14 @@ import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tidemark.functions.scalars import NUMBER, first_match, paragraph_hash
+from tidemark.operators.batches import map_parts
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n{2,}") -> DataFrame:
@@ -23,25 +26,27 @@ def placed_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, pos, paragraph, start): paragraphs that aren't blank, with the place of each in its text."""
     cut = re.compile(separator)
 
-    @F.pandas_udf("array<struct<pos:int,paragraph:string,start:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[dict]:
+    def work(texts: list[str | None]) -> tuple[list[int], dict[str, pa.Array]]:
+        found = []
+        for row, text in enumerate(t or "" for t in texts):
             ends = [(m.start(), m.end()) for m in cut.finditer(text)]
             bounds = zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text)], strict=True)
-            return [{"pos": k, "paragraph": text[a:b], "start": a} for k, (a, b) in enumerate(bounds) if text[a:b].strip(" ")]
-
-        return texts.map(lambda t: one(t or ""))
+            found += [(row, k, text[a:b], a) for k, (a, b) in enumerate(bounds) if text[a:b].strip(" ")]
+        rows, *made = zip(*found, strict=True) if found else ((),) * 4
+        kinds = {"pos": pa.int32(), "paragraph": pa.string(), "start": pa.int32()}
+        return list(rows), {n: pa.array(x, k) for (n, k), x in zip(kinds.items(), made, strict=True)}
 
-    return docs.select(key, F.explode(run(F.col(text))).alias("p")).select(key, "p.*")
+    schema = T.StructType([docs.schema[key], *T._parse_datatype_string("pos int, paragraph string, start int").fields])
+    return map_parts(docs.select(key, F.col(text).alias("__source")), work, schema)
 
 
 def reduced(kept: DataFrame, key: str = "doc_id", joiner: str = "\n\n") -> DataFrame:
     """(key, text, spans): the kept paragraphs, joined in their order, with the map from the text to the one that they were cut from."""
-    rows = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "paragraph"))).alias("p"))
-    rows = rows.select(key, F.array_join(F.transform("p", lambda x: x["paragraph"]), joiner).alias("text"), F.posexplode("p").alias("k", "x"))
-    before = F.sum(F.length("x.paragraph") + len(joiner)).over(W.Window.partitionBy(key).orderBy("k")) - F.length("x.paragraph") - len(joiner)
-    span = F.struct(before.cast("int").alias("text_start"), (before + F.length("x.paragraph")).cast("int").alias("text_end"), F.col("x.start").alias("source_start"), (F.col("x.start") + F.length("x.paragraph")).alias("source_end"), F.lit(True).alias("literal"))
-    return rows.withColumn("s", span).groupBy(key).agg(F.first("text").alias("text"), F.array_sort(F.collect_list("s")).alias("spans"))
+    before = F.sum(F.length("paragraph") + len(joiner)).over(W.Window.partitionBy(key).orderBy("pos", "start", "paragraph").rowsBetween(W.Window.unboundedPreceding, 0)) - F.length("paragraph") - len(joiner)
+    placed = kept.select(key, "pos", "start", "paragraph", before.cast("int").alias("before"))
+    rows = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "paragraph", "before"))).alias("p"))
+    span = lambda x: F.struct(x["before"].alias("text_start"), (x["before"] + F.length(x["paragraph"])).alias("text_end"), x["start"].alias("source_start"), (x["start"] + F.length(x["paragraph"])).alias("source_end"), F.lit(True).alias("literal"))
+    return rows.select(key, F.array_join(F.transform("p", lambda x: x["paragraph"]), joiner).alias("text"), F.transform("p", span).alias("spans"))
 
 
 def boilerplate(parts: DataFrame, group: str, share: float = 0.8, key: str = "doc_id") -> DataFrame:
