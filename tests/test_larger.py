@@ -14,6 +14,7 @@ from tidemark.operators import text as t
 from tidemark.operators import trials
 from tidemark.operators import windows as w
 from tidemark.plans import catalog
+from tidemark.sources import filings
 
 
 def test_unpriced_reads_every_order(spark, tmp_path):
@@ -120,3 +121,14 @@ def test_reduced_texts_are_not_copied_by_line(spark):
     assert "Generate" not in once._jdf.queryExecution().optimizedPlan().toString()
     got = {r.doc_id: (r.text, [tuple(x) for x in r.spans]) for r in once.collect()}
     assert got == {1: ("ab | c", [(0, 2, 0, 2, True), (5, 6, 4, 5, True)]), 3: ("d | ef | g", [(0, 1, 0, 1, True), (4, 6, 4, 6, True), (9, 10, 7, 8, True)])}
+
+
+def test_forms_without_prefixes_are_not_rewritten(spark):
+    """Only a form with a colon goes through the patterns, and a form that is written by an expression is written once."""
+    xml = F.concat(F.lit("<a>"), F.upper("x"), F.lit("</a>"))
+    rows = spark.createDataFrame([(1, "<b/>"), (2, '<n:b xsi:q="1" xmlns:n="u" r="a:b">t:u</n:b>'), (3, None), (4, "<long-name.x" + "y" * 999 + " z>")], "id long, x string")
+    found = rows.select("id", filings.plain_tags(F.col("x")).alias("x"), filings.plain_tags(xml).alias("y"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan
+    assert plan.count("upper(") == 1
+    assert [r.x for r in found.orderBy("id").collect()] == ["<b/>", '<b q="1" xmlns:n="u" r="a:b">t:u</b>', None, "<long-name.x" + "y" * 999 + " z>"]

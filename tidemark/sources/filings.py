@@ -34,7 +34,14 @@ SALES = "formData struct<issuerInfo:struct<issuerCik:string,issuerName:string,na
 
 def plain_tags(xml: Column) -> Column:
     """XML without prefixes on elements and attributes, which from_xml takes as part of a name."""
-    return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z][\w.-]*:", "$1"), r"(\s)(?!xmlns)[A-Za-z][\w.-]*:([A-Za-z][\w.-]*=)", "$1$2")
+
+    def plain(x: Column) -> Column:
+        # Possessive, as no name holds the sign that ends it: a name without a prefix isn't read backwards again.
+        without = F.regexp_replace(F.regexp_replace(x, r"(</?)[A-Za-z][\w.-]*+:", "$1"), r"(\s)(?!xmlns)[A-Za-z][\w.-]*+:([A-Za-z][\w.-]*+=)", "$1$2")
+        return F.when(x.contains(":"), without).otherwise(x)
+
+    # As an array of one, so that a form that is written by an expression is written once.
+    return F.get(F.transform(F.array(xml), plain), 0)
 
 
 def facts_of_concept(json: Column) -> Column:
