@@ -14,6 +14,7 @@ from tidemark.operators import text as t
 from tidemark.operators import trials
 from tidemark.operators import windows as w
 from tidemark.plans import catalog
+from tidemark.plans import stand_ins as s
 from tidemark.sources import filings
 
 
@@ -132,3 +133,13 @@ def test_forms_without_prefixes_are_not_rewritten(spark):
     assert "Contains" in plan or "contains" in plan
     assert plan.count("upper(") == 1
     assert [r.x for r in found.orderBy("id").collect()] == ["<b/>", '<b q="1" xmlns:n="u" r="a:b">t:u</b>', None, "<long-name.x" + "y" * 999 + " z>"]
+
+
+def test_extractions_are_dealt_by_their_rows(spark, monkeypatch):
+    """Tasks that join lines and orders grow in number with the lines, not in size."""
+    at = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(s, "TASK_ROWS", 100)
+    found = s.extractions(spark, at)
+    assert found.rdd.getNumPartitions() == -(-s.table(spark, at, "lineitem").count() // 100) and found.count() == s.table(spark, at, "lineitem").count()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
