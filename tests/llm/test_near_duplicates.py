@@ -203,3 +203,65 @@ def test_components_copy_hot_nodes_only(spark, monkeypatch):
     hot = components._hot(both, both.count())
     assert [(r.u, r.k) for r in hot.collect()] == [(0, 20)]
     assert components._lowest(both, hot).count() == both.count() and components._hot(groups.selectExpr("a as u", "b as v"), 20_000) is None
+
+
+def test_lines_of_a_text_are_those_of_each_line():
+    for text in ("A\tb  c\r\n x \n\n  \nΑΣ\nΣΑΣ b", "İx y\x1cz\n\x0b\x0cq", " ", "\n", "ab ", "", None, "ΑΣ.\nΑ", "a b\nc d"):
+        assert linededup.normalised_lines(text) == [linededup.normalised(x) for x in (text or "").split("\n")]
+
+
+def test_many_pairs_at_once():
+    rng = np.random.default_rng(8)
+    pairs, most, want = [], [], []
+    for k in range(250):
+        a = rng.choice(list("abcd é"), rng.integers(0, 400 if k < 20 else 150)).tolist()
+        b = list(a) if k % 5 else rng.choice(list("abcd é"), len(a)).tolist()
+        for _ in range(rng.integers(0, 40)):
+            at = rng.integers(0, len(b) + 1)
+            b[at : at + rng.integers(0, 2)] = rng.choice(list("abcdz "), rng.integers(0, 2)).tolist()
+        most.append(int(0.2 * max(len(a), len(b))))
+        want.append(linededup.distance("".join(a), "".join(b), most[-1]) <= most[-1])
+        pairs.append(tuple(np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in (a, b)))
+    assert linededup.within(pairs, np.array(most)).tolist() == want and 50 < sum(want) < 200
+
+
+def test_pairs_of_many_buckets_connect_what_is_alike():
+    rng = np.random.default_rng(9)
+    kind = linededup.KINDS[1]
+    lines = []
+    for i in range(60):
+        base = "".join(rng.choice(list("abcdefgh "), 60)).strip()
+        lines += [base] + [base[:k] + "z" * int(rng.integers(1, 18)) + base[k + 3 :] for k in rng.integers(0, 50, int(rng.integers(0, 5)))]
+    lines = [" ".join(x.split()) for x in lines]
+    sketch, keys = linededup.features([x.encode() for x in lines], kind)
+    rows, bucket = {c: [] for c in ("kind", "j", "key", "node", "line", "sketch", "keys")}, []
+    short = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    groups = [np.flatnonzero(short[:, j] == key) for j in range(kind.bands) for key in np.unique(short[:, j])]
+    want = set()
+    for number, group in enumerate(g for g in groups if len(g) > 1):
+        near = [(int(a), int(b)) for a in group for b in group if a < b and (int(sketch[a]) ^ int(sketch[b])).bit_count() <= kind.bits]
+        want |= {p for p in near if linededup.alike(lines[p[0]], lines[p[1]])}
+        j = next(j for j in range(kind.bands) if len(set(short[group, j])) == 1)
+        for i in group:
+            bucket.append(number)
+            for c, v in (("kind", 1), ("j", 0), ("key", j), ("node", f"{i:03}"), ("line", lines[i].encode()), ("sketch", sketch[i].astype(np.int64)), ("keys", short[i])):
+                rows[c].append(v)
+    cols = {c: v if c in ("node", "line", "keys") else np.array(v) for c, v in rows.items()}
+    got = [(int(a), int(b)) for a, b in linededup._paired(0.8)(cols, np.array(bucket))]
+    assert roots(len(lines), got) == roots(len(lines), list(want)) and len(want) > len(got) > 40
+
+
+def test_keys_go_packed_and_crowded_ones_are_dealt_out(spark):
+    rng = np.random.default_rng(10)
+    posts = rng.integers(-(1 << 62), 1 << 62, (3000, 3))
+    posts[:1000, 0] = 5
+    found = [row for batch in linededup._packed(posts, 1024) for row in batch.to_pylist()]
+    held = [tuple(x) for r in found for x in np.frombuffer(r["posts"], np.int64).reshape(-1, 3).tolist()]
+    assert sorted(held) == sorted(map(tuple, posts.tolist()))
+    of = lambda r: 5 in np.frombuffer(r["crowd"], np.int64)
+    dealt = [r for r in found if any(x[0] == 5 for x in np.frombuffer(r["posts"], np.int64).reshape(-1, 3))]
+    assert len({r["bucket"] for r in dealt}) > 300 and all(map(of, dealt))
+    assert {r["bucket"] for r in found if of(r) and not r["posts"]} == {0}  # the bucket of the least keys
+    lines = spark.createDataFrame([("\n".join(f"{a} word of the line {a * 7919 + k} and more {k}" for k in range(200)),) for a in range(20)], "text string")
+    packed = linededup._posts(lines.coalesce(1), 1024)
+    assert packed.count() <= 4 * 1024 and packed.selectExpr("sum(length(posts) / 24)").first()[0] >= 4000 * 8
