@@ -265,3 +265,31 @@ def test_keys_go_packed_and_crowded_ones_are_dealt_out(spark):
     lines = spark.createDataFrame([("\n".join(f"{a} word of the line {a * 7919 + k} and more {k}" for k in range(200)),) for a in range(20)], "text string")
     packed = linededup._posts(lines.coalesce(1), 1024)
     assert packed.count() <= 4 * 1024 and packed.selectExpr("sum(length(posts) / 24)").first()[0] >= 4000 * 8
+
+
+def test_pairs_are_compared_on_the_diagonals_that_their_edits_can_reach(monkeypatch):
+    """A pair had a bit for each letter of its line; now for each of most + 1 diagonals, whole words of 64 with and without a bit left."""
+    rng = np.random.default_rng(11)
+    given, compare = [], linededup._banded
+    monkeypatch.setattr(linededup, "_banded", lambda pairs, size, most: given.append(int(size.sum())) or compare(pairs, size, most))
+    pairs, most, want = [], [], []
+    for k in range(120):
+        a = rng.choice(list("abcdeé ыñ"), rng.integers(500, 900))
+        b = a.copy()
+        for _ in range(rng.integers(0, 100)):
+            at = int(rng.integers(0, len(b)))
+            b = np.insert(b, at, "x") if rng.random() < 0.4 else np.delete(b, at)
+        m = (0, 1, 62, 63, 64, 65, 126, 127, 128)[k % 9]
+        x, y = "".join(a), "".join(b)
+        pairs.append(tuple(np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (x, y)))
+        most.append(m)
+        want.append(linededup.distance(x, y, m) <= m)
+    assert 10 < sum(want) < 110
+    assert linededup.within(pairs, np.array(most)).tolist() == want
+    assert len(given) == 1 and given[0] <= 3 * len(pairs)
+
+
+def test_words_of_equal_lines_have_equal_numbers():
+    one, other = linededup.numbered(["the rain  stays", "rain the"])
+    assert one.names[:2] == other.names[1::-1] and one.names[-1] == other.names[-1] == 0
+    assert one.before == [0, 3, 7, 7, 12] and other.before == [0, 4, 7]
